@@ -117,12 +117,15 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     rank = Window.partitionBy(*tree).orderBy(F.desc("gained"), F.desc("steps"), F.asc("m"))
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     path = chosen.select(*tree, "branch", "m", F.col("steps").alias("position"))
+    walked: list[DataFrame] = []
     for k in range(len(pointers) - 2, -1, -1):
         jump = pointers[k].where("up is not null").select(*tree, "m", "up")
         further = path.join(jump, [*tree, "m"]).select(*tree, "branch", F.col("up").alias("m"), (F.col("position") - 2**k).alias("position"))
-        path = path.unionByName(further)
+        # Written each round: the plan would double otherwise.
+        walked.append(written(path.unionByName(further), "reply-walk"))
+        path = walked[-1]
     out = written(path.select(F.when(~F.col("tn"), F.col("t")).cast(messages.schema["tree_id"].dataType).alias("tree_id"), "branch", "position", F.col("m").alias("message_id")), "reply-paths")
-    drop(*pointers)
+    drop(*pointers, *walked)
     return out
 
 

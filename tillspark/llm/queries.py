@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_mil, quality_rules, toxicity
+from . import bpe, chat, near_dup, quality_mil, quality_rules, toxicity
 from .common import crc_fold, table
 from .line_dedup import MAX_CHARS, MIN_SITES, dedup_lines
 from .url_filter import filter_urls, key_table
@@ -98,6 +98,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_mil, "quality", 4, 2)
 
@@ -166,6 +170,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe": op8_bpe,
     "op10_chat_format": op10_chat_format,
