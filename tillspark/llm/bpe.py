@@ -18,13 +18,14 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words that a Python worker keeps encoded; reached, the cache starts afresh.
-CACHE_WORDS = 200_000
+#: Distinct words after which a Python worker's cache starts a new generation; the last two are kept.
+CACHE_WORDS = 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -56,7 +57,9 @@ class WordBPE:
         self.letters = byte_alphabet()
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.cache: dict[str, list[int]] = {}
+        #: Ids as bytes of each word seen lately, and of those seen before; used ones move on.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Words after normalisation; lower-casing looks at single characters only."""
@@ -131,22 +134,28 @@ class WordBPE:
                 out[k].append(s)
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; special strings in a text are their own tokens."""
-        pieces = []
+        docs = []
         for text in texts:
             parts = self.specials.split(text or "") if self.specials and "<|" in (text or "") else [text or ""]
-            pieces.append([[p] if p in self.special else self.split(p) for p in parts if p])
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        cache.update((s, [i]) for s, i in self.special.items())
-        fresh = list(dict.fromkeys(w for doc in pieces for words in doc for w in words if w not in cache))
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
-            cache.update(zip(some, self.merge_words(some), strict=True))
+            docs.append([w for p in parts if p for w in ([p] if p in self.special else self.split(p))] if len(parts) > 1 else self.split(parts[0]))
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        cache, older, special = self.cache, self.older, self.special
+        fresh = []
+        for w in set(chain.from_iterable(docs)).difference(cache):
+            if (known := older.get(w)) is not None:
+                cache[w] = known
+            elif w in special:
+                cache[w] = np.array([special[w]], dtype=np.int32).tobytes()
+            else:
+                fresh.append(w)
+        for at in range(0, len(fresh), 10_000):
+            some = fresh[at : at + 10_000]
+            cache.update(zip(some, [np.array(ids, dtype=np.int32).tobytes() for ids in self.merge_words(some)], strict=True))
         look = cache.__getitem__
-        return [list(chain.from_iterable(map(look, chain.from_iterable(doc)))) for doc in pieces]
+        return [np.frombuffer(b"".join(map(look, words)), dtype=np.int32) for words in docs]
 
     def decode_batch(self, rows: list[list[int]]) -> list[str]:
         """Tokens joined by spaces, as a vocabulary file without a decoder has it."""
@@ -164,7 +173,7 @@ def vocabulary(path: str) -> WordBPE:
     return _loaded[path]
 
 
-def _chunks(texts: pd.Series, most: int = 4 << 20) -> Iterator[list]:
+def _chunks(texts: pd.Series, most: int = 1 << 20) -> Iterator[list]:
     """Some texts at a time, by their length; a longer text is a chunk of its own."""
     some, size = [], 0
     for t in texts:
@@ -184,7 +193,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = vocabulary(path)
         for batch in batches:
-            yield pd.Series([x for some in _chunks(batch) for x in bpe.encode_batch(some)], dtype="object")
+            for some in _chunks(batch):
+                yield pd.Series(bpe.encode_batch(some), dtype="object")
 
     return docs.select(*[c for c in docs.columns if c != ids], encoded(F.col(text)).alias(ids))
 
@@ -196,6 +206,7 @@ def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "deco
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = vocabulary(path)
         for batch in batches:
-            yield pd.Series(bpe.decode_batch([[] if x is None else x.tolist() for x in batch]), dtype="object")
+            for at in range(0, len(batch), 200):
+                yield pd.Series(bpe.decode_batch([[] if x is None else x.tolist() for x in batch.iloc[at : at + 200]]), dtype="object")
 
     return docs.select(*[c for c in docs.columns if c != text], decoded(F.col(ids)).alias(text))
