@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, near_dup, quality_mil, quality_rules, toxicity
+from . import bpe, chat, decontaminate, near_dup, quality_mil, quality_rules, suffix_dedup, toxicity
 from .common import crc_fold, table
 from .line_dedup import MAX_CHARS, MIN_SITES, dedup_lines
 from .url_filter import filter_urls, key_table
@@ -93,6 +93,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, "toxic", 3, 1)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -122,6 +126,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it contains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 CHAT_PROBE = "\\### Assistant: </turn> ok"
 CHAT_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -169,10 +179,12 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe": op8_bpe,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_line_dedup": OP3_SQL, "op10_chat_format": OP10_SQL}
