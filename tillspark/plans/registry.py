@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import relational_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (relational_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
