@@ -26,7 +26,7 @@ repeated matches; ids may be null; empty tables give empty results; other column
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,25 +52,21 @@ def words_of(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) | np.uint64(1)
 
 
-def _salted(h: np.ndarray, seed: int) -> np.ndarray:
-    x = (h ^ np.uint64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * _MULT
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def places(repeat: int, window: int, sampled: int) -> np.ndarray:
-    """The sampled places of one repetition, among the 2 * window steps that a walk needs on average."""
-    return np.sort(np.random.default_rng(1000 * repeat + window).choice(2 * window, min(sampled, 2 * window), replace=False))
+    """The sampled places of one repetition, one in each equal part of the 2 * window steps that a walk needs on average."""
+    draw = np.random.default_rng(1000 * repeat + window).random(sampled)
+    return ((np.arange(sampled) + draw) * 2 * window / sampled).astype(np.int64)
 
 
 def partial_keys(h: np.ndarray, starts: np.ndarray, repeat: int, window: int, sampled: int, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Walk from every start; the keys after each sampled place. With ``known`` tables of such
     keys, walks that leave them are given up; returns the starts that are left."""
-    bits = _salted(h, repeat + 1)
     at, offset = starts.copy(), np.zeros(len(starts), dtype=np.int64)
     key, keys, step = np.zeros(len(starts), dtype=np.uint64), [], 0
     for n, place in enumerate(places(repeat, window, sampled)):
         while step < place:
-            move = (bits[at + offset] >> np.uint64(step % 48 + 8)) & np.uint64(1)
+            # Word hashes are random bits: another one for each step, and another order for each repetition.
+            move = (h[at + offset] >> np.uint64((11 * repeat + step) % 60 + 2)) & np.uint64(1)
             # A walk that has left its window stays on the padding after it.
             offset = np.minimum(offset + move.astype(np.int64), window)
             step += 1
@@ -95,6 +91,7 @@ class ItemClass:
     items: list[tuple[int, np.ndarray]]
 
     def __post_init__(self):
+        self.words = [Counter(h.tolist()) for _, h in self.items]
         joined, self.origin, starts, at = [], [], [], 0
         for n, (_, h) in enumerate(self.items):
             for start in range(len(h) - self.window + 1):
@@ -180,7 +177,9 @@ def matches(docs: list[np.ndarray], classes: list[ItemClass]) -> list[tuple[int,
                     slack = allowed(len(h)) + 4
                     lo_word, hi_word = max(0, place - slack), min(int(sizes[doc]), place + len(h) + slack)
                     stretch = docs[doc][lo_word:hi_word]
-                    if np.isin(h, stretch).sum() < len(h) - allowed(len(h)):
+                    # Every edit takes at most one word of the item away.
+                    here = set(stretch.tolist())
+                    if sum(k for w, k in c.words[n].items() if w in here) < len(h) - allowed(len(h)):
                         continue
                     edits, a, b = closest(h, stretch)
                     found = (edits, len(h), lo_word + a, lo_word + b)
