@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -28,6 +29,11 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 100_000
 
 
+#: Lower-case ASCII and Latin texts, whose letters, digits and spaces the faster engine knows too.
+_LATIN = re.compile("[\x00-\x7f\u00df-\u00f6\u00f8-\u024f]*")
+_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,7 +60,9 @@ class WordBPE:
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        self.letters = byte_alphabet()
+        letters = byte_alphabet()
+        self.inner = [vocab[c] for c in letters]
+        self.final = [vocab[c + self.suffix] for c in letters]
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         #: Ids as bytes of each word seen lately, and of those seen before; used ones move on.
@@ -65,12 +73,12 @@ class WordBPE:
         """Words after normalisation; lower-casing looks at single characters only."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words.findall(text.lower())
+        text = text.lower()
+        return (_LATIN_WORDS if _LATIN.fullmatch(text) else self.words).findall(text)
 
     def _symbols(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        letters[-1] += self.suffix
-        return [self.vocab[c] for c in letters]
+        raw = word.encode("utf-8")
+        return [*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]]
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word; all words are merged together through one pair index."""
