@@ -284,7 +284,7 @@ def _results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hi = np.searchsorted(first, ends, side="left")
             for k, (doc, known, size, end) in enumerate(zip(ids.tolist(), has.tolist(), sizes.tolist(), ends.tolist(), strict=True)):
                 begin = end - size
-                cut = [(max(int(first[j]), begin) - begin, min(int(stop[j]), end) - begin) for j in range(lo[k], hi[k])]
+                cut = [(max(int(first[j]), begin) - begin, min(int(stop[j]), end) - begin) for j in range(lo[k], hi[k])] if size else []
                 kept, at = [], begin
                 for a, b in cut:
                     kept.append(row.body[at : begin + a])
