@@ -102,10 +102,13 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     while climbing:
         at = pointers[-1]
         far = at.select(*tree, F.col("m").alias("up"), F.col("up").alias("up2"), F.col("gained").alias("gained2"), F.col("steps").alias("steps2"))
-        nxt = at.join(far, [*tree, "up"], "left").select(
-            *tree, "m", F.col("up2").alias("up"), (F.col("gained") + F.coalesce("gained2", F.lit(0.0))).alias("gained"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")
+        nxt = (
+            at.where("up is not null")
+            .join(far, [*tree, "up"])
+            .select(*tree, "m", F.col("up2").alias("up"), (F.col("gained") + F.col("gained2")).alias("gained"), (F.col("steps") + F.col("steps2")).alias("steps"))
         )
-        pointers.append(written(nxt, "reply-up"))
+        # Rows that have reached their root stay as they are: a long chain costs rounds, but not for all.
+        pointers.append(written(nxt.unionByName(at.where("up is null")), "reply-up"))
         climbing = pointers[-1].where("up is not null").count()
         if limit is None:
             limit = pointers[0].groupBy(*tree).count().agg(F.max("count")).head()[0] or 0
