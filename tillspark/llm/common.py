@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,15 @@ def drop(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark removes the shuffle files of finished steps.
+
+    They would stay on the executors' disks until the driver happens to collect.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

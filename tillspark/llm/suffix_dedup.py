@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, settle, written
 
 LENGTH = 100
 PERIOD = 57
@@ -305,6 +305,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def table(df: DataFrame, name: str) -> DataFrame:
         made.append(written(df, name))
+        settle(df.sparkSession)
         return made[-1]
 
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
