@@ -194,7 +194,7 @@ def share_of_total(df: DataFrame, key: str, amount: str) -> DataFrame:
 def best_and_margin(scored: DataFrame, key: str, candidate: str, score: str) -> DataFrame:
     """The best candidate of each key and its lead over the second; ties by id.
 
-    Two partial maxima instead of a sort: the two best structs of a group, gathered pairwise.
+    Ranks up to two are kept by a group limit before the shuffle, so a group sends two rows a task.
     """
     order = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(candidate))
     top = scored.withColumn("_rank", F.row_number().over(order)).where("_rank <= 2")
@@ -203,7 +203,7 @@ def best_and_margin(scored: DataFrame, key: str, candidate: str, score: str) ->
     return top.groupBy(key).agg(first(candidate).alias("best"), first(score).alias("best_score"), (first(score) - F.coalesce(second, F.lit(0))).alias("margin"))
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[Column], heading: Column, reset: Column | None = None) -> Column:
+def carry_forward(keys: Sequence[str], order: Sequence[Column], heading: Column, reset: Column | None = None) -> Column:
     """The last heading above a row on its page; a reset row clears it."""
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = heading if reset is None else F.when(reset, F.lit("")).otherwise(heading)

@@ -159,7 +159,7 @@ def choose_source(candidates: DataFrame, key: str) -> DataFrame:
     items and the lowest id; a maximum over structs, without sorting groups.
     """
     place = F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv])
-    rank = F.struct((F.col("confidence") >= 0.80).alias("a"), (-F.coalesce(F.get(F.array(F.element_at(place, F.col("source"))), F.lit(0)), F.lit(99))).alias("b"), F.col("confidence").alias("c"), F.col("item_count").alias("d"), (-F.col("candidate_id")).alias("e"))
+    rank = F.struct((F.col("confidence") >= 0.80).alias("a"), (-F.coalesce(F.try_element_at(place, F.col("source")), F.lit(99))).alias("b"), F.col("confidence").alias("c"), F.col("item_count").alias("d"), (-F.col("candidate_id")).alias("e"))
     return candidates.groupBy(key).agg(F.max_by(F.struct("candidate_id", "source", "confidence"), rank).alias("s"), F.count(F.lit(1)).alias("candidates")).select(key, "s.*", "candidates")
 
 

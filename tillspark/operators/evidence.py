@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decisions import cad_amounts  # noqa: F401  (re-exported for ledger pages)
 from .joins import occurrence
 from .relational import first_by, unique_or_null
 

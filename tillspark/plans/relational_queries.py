@@ -551,7 +551,7 @@ def e8(s, d):
 def e10(s, d):
     i = bi.expense_items(s, d)
     order = [F.col("item_id"), F.col("line_total"), F.col("item_name")]
-    heading = ag.carry_forward(i, ["expense_pk"], order, F.when(F.col("tax_code") == "R", F.col("item_name")))
+    heading = ag.carry_forward(["expense_pk"], order, F.when(F.col("tax_code") == "R", F.col("item_name")))
     return i.select("expense_pk", "item_id", "line_total", heading.alias("heading"))
 
 
