@@ -54,10 +54,12 @@ class WordBPE:
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         self.vocab = vocab
+        #: Rank and new symbol of each pair.
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.pairs: dict[int, tuple[int, int, int]] | None = None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         letters = byte_alphabet()
@@ -96,14 +98,18 @@ class WordBPE:
         for k, at in enumerate(first):
             before[at] = -1
             after[(first[k + 1] if k + 1 < len(first) else n) - 1] = -1
-        merges = self.merges
+        merge = self.merges.get
+        if self.pairs is None:
+            self.pairs = {rank: (*pair, new) for pair, (rank, new) in self.merges.items()}
+        pair_of = self.pairs
         index: dict[int, list[int]] = {}
-        made: dict[int, tuple[int, int, int]] = {}
-        for p in range(n):
-            q = after[p]
-            if q >= 0 and (found := merges.get((sym[p], sym[q]))):
-                index.setdefault(found[0], []).append(p)
-                made[found[0]] = (sym[p], sym[q], found[1])
+        for p, found in enumerate(map(merge, zip(sym, sym[1:]))):
+            if found is not None and after[p] >= 0:
+                rank = found[0]
+                if rank in index:
+                    index[rank].append(p)
+                else:
+                    index[rank] = [p]
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -111,13 +117,14 @@ class WordBPE:
             positions = index.pop(rank, None)
             if positions is None:
                 continue
-            left, right, new = made[rank]
+            left, right, new = pair_of[rank]
             waiting: set[int] = set()
-            for p in sorted(positions):
+            positions.sort()
+            for p in positions:
                 q = after[p]
                 if sym[p] != left or q < 0 or sym[q] != right:
                     continue
-                if owner[p] in waiting:
+                if waiting and owner[p] in waiting:
                     if rank not in index:
                         index[rank] = []
                         heapq.heappush(active, rank)
@@ -125,17 +132,25 @@ class WordBPE:
                     continue
                 sym[p], sym[q] = new, -1
                 after[p] = r = after[q]
+                o = before[p]
                 if r >= 0:
                     before[r] = p
-                for a, b in ((before[p], p), (p, r)):
-                    if a >= 0 and b >= 0 and (found := merges.get((sym[a], sym[b]))):
-                        if found[0] not in index:
-                            index[found[0]] = []
-                            made[found[0]] = (sym[a], sym[b], found[1])
+                    if (found := merge((new, sym[r]))) is not None:
+                        if found[0] in index:
+                            index[found[0]].append(p)
+                        else:
+                            index[found[0]] = [p]
                             heapq.heappush(active, found[0])
-                        index[found[0]].append(a)
                         if found[0] < rank:
                             waiting.add(owner[p])
+                if o >= 0 and (found := merge((sym[o], new))) is not None:
+                    if found[0] in index:
+                        index[found[0]].append(o)
+                    else:
+                        index[found[0]] = [o]
+                        heapq.heappush(active, found[0])
+                    if found[0] < rank:
+                        waiting.add(owner[p])
         out: list[list[int]] = [[] for _ in words]
         for s, k in zip(sym, owner, strict=True):
             if s >= 0:
