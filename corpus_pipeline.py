@@ -32,7 +32,8 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     later = near_dup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_ll_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_ll_later"), "left_anti")
+    # Later copies grow with the corpus: a merge join at every size, never a broadcast of them.
+    return docs.join(later.hint("merge"), F.col("doc_id") == F.col("_ll_later"), "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
