@@ -9,9 +9,9 @@ key is what stands there. Equal keys make a candidate.
 Windows have the size of the benchmark items: items are put into classes by length, and the
 windows of a class are as long as its shortest items allow. A class's items are embedded at
 every window of theirs, the corpus only at every ``stride``-th word, so each passage holds
-several windows that line up with an item's, each with ``REPEATS`` chances. Walks stop at the
+several windows that line up with an item's, each with ``repeats`` chances. Walks stop at the
 first sampled place whose partial key no item has, so few windows are walked to the end. The
-tests measure the recall at a quarter of the words edited.
+tests measure the recall at a quarter of the words edited for every length of 1 to 64 words.
 
 A candidate is verified exactly: the word edit distance between the item and the closest
 stretch of the document around the window, by dynamic programming. A document is contaminated
@@ -37,10 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_EDITS = 0.25
-REPEATS = 6
 BLOCK_WORDS = 2_000_000
-#: Shortest item of a class, window and stride in words, sampled places of the embedding.
-CLASSES = ((24, 12, 6, 5), (14, 8, 3, 5), (9, 6, 2, 4), (5, 4, 1, 3), (1, 1, 1, 1))
+#: Shortest item of a class, window and stride in words, sampled places of the embedding, repeats.
+CLASSES = ((40, 12, 4, 5, 6), (24, 8, 3, 4, 6), (14, 6, 2, 4, 6), (9, 5, 1, 4, 6), (5, 4, 1, 3, 10), (1, 1, 1, 1, 6))
 CHUNK_WORDS = 400_000
 _EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +87,7 @@ class ItemClass:
     window: int
     stride: int
     sampled: int
+    repeats: int
     items: list[tuple[int, np.ndarray]]
 
     def __post_init__(self):
@@ -101,7 +101,7 @@ class ItemClass:
             at += len(h) + self.window
         joined, starts = np.concatenate(joined), np.array(starts, dtype=np.int64)
         self.tables, self.entries = [], []
-        for r in range(REPEATS):
+        for r in range(self.repeats):
             _, keys = partial_keys(joined, starts, r, self.window, self.sampled)
             tables = []
             for key in keys:
@@ -160,7 +160,7 @@ def matches(docs: list[np.ndarray], classes: list[ItemClass]) -> list[tuple[int,
         owner = np.repeat(np.arange(len(docs)), counts)
         first = np.cumsum(counts) - counts
         windows = starts[owner] + (np.arange(len(owner)) - first[owner]) * c.stride
-        for r in range(REPEATS):
+        for r in range(c.repeats):
             at, keys = partial_keys(joined, windows, r, c.window, c.sampled, c.tables[r])
             table, order = c.entries[r]
             lo, hi = np.searchsorted(table, keys[-1], side="left"), np.searchsorted(table, keys[-1], side="right")
