@@ -5,8 +5,8 @@ sites for every line (partial sketches merge before and after the shuffle, so th
 a third of all documents reaches its task as one row from each mapper). Lines whose estimate
 is clear of the threshold are decided by it; lines near the threshold get an exact distinct
 count. A line on ``min_sites`` sites or more is boilerplate; its first occurrence (smallest
-document, then position) stays and every other one goes. Longer lines than ``max_chars`` are
-passages, not boilerplate, and are left to the near-duplicate operators.
+document, then position) stays and every other one goes, however long it is. Only a caller
+that gives ``max_chars`` leaves longer lines alone.
 
 Defined results: lines split at ``\\n`` and compare without the spaces and controls 9 to 13
 around them; blank lines are no lines. Null texts stay null, a null source is no site, empty
@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SITES, MAX_CHARS, LG_K = 12, 300, 12
+MIN_SITES, LG_K = 12, 12
+#: The longest line that the SQL twin counts; the operator itself has no such bound.
+MAX_CHARS = 300
 #: Six standard errors of a sketch of 2 ** LG_K registers.
 NEAR = 6 * 1.04 / 2 ** (LG_K / 2)
 
@@ -29,7 +31,7 @@ def _stripped(line: Column) -> Column:
     return F.btrim(line, F.lit(_EDGE))
 
 
-def _lines(docs: DataFrame, text: str, doc_id: str, source: str, max_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, text: str, doc_id: str, source: str, max_chars: int | None) -> DataFrame:
     """One row a line that may be boilerplate: document, text hash, position, two line hashes, site."""
     return (
         docs.select(
@@ -39,7 +41,7 @@ def _lines(docs: DataFrame, text: str, doc_id: str, source: str, max_chars: int)
             F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"),
         )
         .withColumn("line", _stripped(F.col("raw")))
-        .where((F.col("line") != "") & (F.length("line") <= max_chars))
+        .where((F.col("line") != "") & (F.lit(True) if max_chars is None else F.length("line") <= max_chars))
         .select("doc", "body", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
     )
 
@@ -69,7 +71,7 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int, near: float) -> Dat
 def dedup_lines(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    max_chars: int = MAX_CHARS,
+    max_chars: int | None = None,
     lg_k: int = LG_K,
     text: str = "text",
     doc_id: str = "doc_id",
