@@ -118,21 +118,45 @@ def match_transactions(candidates: DataFrame) -> DataFrame:
     return best.withColumn("outcome", outcome)
 
 
+def _affine_ratios(pieces: pd.Series, keywords: pd.Series, least: float) -> pd.Series:
+    """Ratios less 0.18 for pairs without a common prefix, word or part; 0 where no score reaches ``least``."""
+    out = []
+    for a, b in zip(pieces, keywords, strict=True):
+        m = SequenceMatcher(None, a, b)
+        # Both are upper bounds of the ratio.
+        if m.real_quick_ratio() < least or m.quick_ratio() < least:
+            out.append(0.0)
+            continue
+        x, y = a.split(), b.split()
+        near = a in b or b in a or not set(x).isdisjoint(y) or not {w[:3] for w in x if len(w) >= 3}.isdisjoint(w[:3] for w in y if len(w) >= 3)
+        out.append(m.ratio() - (0.0 if near else 0.18))
+    return pd.Series(out, dtype="float64")
+
+
 def fuzzy_keyword(items: DataFrame, keywords: DataFrame, text: str, threshold: float = 0.75, gap: float = 0.08) -> DataFrame:
-    """I8: the category of the keyword most like a word or word pair of each distinct text.
+    """I8: the category of the keyword most like a word, two or three words or all of each distinct text.
 
-    keywords: keyword, category; a configuration table, so it is broadcast. Only words that
-    begin with a keyword's letter are compared. A second category within ``gap`` leaves none.
+    keywords: keyword, category; a configuration table, so it is broadcast. Single words are
+    compared only with single keywords of the same first letter. A second category within
+    ``gap`` leaves none. Each distinct piece is compared once, and not where the score could
+    neither win nor be within ``gap`` of a winner.
     """
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _affine_ratios(x, y, threshold - gap - 1e-9)
+
     distinct = items.select(text).distinct()
-    grams = F.array_distinct(F.concat(F.split(normalize(text), " "), ngrams(normalize(text), 2)))
+    norm = normalize(text)
+    grams = F.array_distinct(F.concat(F.split(norm, " "), ngrams(norm, 2), ngrams(norm, 3), F.array(norm)))
     pieces = distinct.select(text, F.explode(grams).alias("piece")).where("piece <> ''")
-    words = F.broadcast(keywords.select("keyword", "category", F.substring("keyword", 1, 1).alias("letter")))
-    pairs = pieces.join(words, F.substring("piece", 1, 1) == F.col("letter"))
-    scored = pairs.withColumn("alike", ratio("piece", "keyword")).where(F.col("alike") >= threshold)
-    by_category = scored.groupBy(text, "category").agg(F.max("alike").alias("alike"))
-    best = best_and_margin(by_category, text, "category", "alike")
-    return best.where((F.col("margin") >= gap)).select(text, F.col("best").alias("category"), F.col("best_score").alias("confidence"))
+    words = F.broadcast(keywords.select(normalize("keyword").alias("keyword"), "category").where("keyword <> ''").distinct())
+    several = F.contains("piece", F.lit(" ")) | F.contains("keyword", F.lit(" "))
+    pairs = pieces.select("piece").distinct().join(words, several | (F.substring("piece", 1, 1) == F.substring("keyword", 1, 1)))
+    scored = pairs.withColumn("alike", alike("piece", "keyword")).where("alike > 0").groupBy("piece", "category").agg(F.max("alike").alias("alike"))
+    by_category = pieces.join(scored, "piece").groupBy(text, "category").agg(F.max("alike").alias("alike"))
+    best = best_and_margin(by_category, text, "category", "alike").where((F.col("best_score") >= threshold) & (F.col("margin") >= gap))
+    return best.select(text, F.col("best").alias("category"), F.col("best_score").alias("confidence"))
 
 
 def categorize(items: DataFrame, learned: DataFrame, rules: DataFrame, keywords: DataFrame, text: str = "item_name") -> DataFrame:
