@@ -110,6 +110,19 @@ def c24(s, d):
     return out.select("expense_pk", "item_id")
 
 
+@query(
+    "c24_blocking_rows_whole",
+    """, a AS (SELECT item_name, tax_code, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 2 = 0),
+    b AS (SELECT item_name, tax_code, item_id, expense_pk, category_source = 'manual' AS r, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY category_source = 'manual' DESC, item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 2 <> 0)
+    SELECT expense_pk, item_id FROM b WHERE r AND NOT EXISTS (SELECT 1 FROM a WHERE a.item_name = b.item_name AND a.tax_code = b.tax_code AND a.n = b.n)""",
+)
+def c24_whole(s, d):
+    """Every item is on one of the two sides."""
+    i = bi.expense_items(s, d).select("item_name", "tax_code", "item_id", "expense_pk", "category_source")
+    out = evd.reviewed_without_partner(i.where("expense_pk % 2 = 0"), i.where("expense_pk % 2 <> 0"), ["item_name", "tax_code"], [F.col("item_id"), F.col("expense_pk")], F.col("category_source") == "manual")
+    return out.select("expense_pk", "item_id")
+
+
 @query("d9_bounds", "SELECT min(transaction_date) FILTER (WHERE currency = 'USD') AS first_usd, max(transaction_date) FILTER (WHERE currency = 'USD') AS last_usd FROM transactions")
 def d9(s, d):
     usd = F.when(F.col("currency") == "USD", F.col("transaction_date"))

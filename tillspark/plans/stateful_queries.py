@@ -83,6 +83,18 @@ def l7(s, d):
     return st.next_state(states, bi.receipt_events(s, d).where("id % 2 = 0"), "request_id")
 
 
+@query(
+    "l7_next_state_whole",
+    """, f AS (SELECT request_id, count(*) FILTER (WHERE status = 'active') AS starts, arg_max(status, struct_pack(a := occurred_at, b := id)) AS status, max(occurred_at) AS at FROM receipt_events GROUP BY 1)
+    SELECT coalesce(c.c_custkey, f.request_id) AS request_id, coalesce(f.status, 'queued') AS status,
+      CAST(CASE WHEN c.c_custkey IS NULL THEN 0 ELSE 1 END + coalesce(f.starts, 0) AS BIGINT) AS attempts, f.at AS updated_at FROM customer c FULL JOIN f ON f.request_id = c.c_custkey""",
+)
+def l7_whole(s, d):
+    """Every customer has a state, and every event counts."""
+    states = bi.read(s, d, "customer").selectExpr("c_custkey AS request_id", "'queued' AS status", "1L AS attempts", "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at")
+    return st.next_state(states, bi.receipt_events(s, d), "request_id")
+
+
 @query(
     "l9_plan_work",
     """SELECT id, CASE WHEN extraction_status = 'complete' THEN 'skip' WHEN id % 5 >= 3 THEN 'exhausted' WHEN extraction_status = 'unreadable' THEN 'retry' ELSE 'pending' END AS plan,
