@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,31 @@ def with_total_count(df: DataFrame, limit: int, order: Sequence[Column]) -> Data
 def interleave(df: DataFrame, group: str, order: Sequence[Column], text: str, budget: int) -> DataFrame:
     """The first of each group, then the second of each, and so on, while the texts fit the budget; each text once.
 
+    A text that does not fit is skipped and costs nothing. No later text of its length fits
+    either, so of each length only as many first rows as the budget holds are looked at, in one pass.
+    """
+    one = first_by(df, [text], [F.col(group), *order])
+    ranked = one.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    sized = ranked.withColumn("_size", F.coalesce(F.length(text), F.lit(0))).where(F.col("_size") <= budget)
+    nth = F.row_number().over(Window.partitionBy("_size").orderBy("_n", group, text))
+    # An empty and a null text cost nothing.
+    small = sized.withColumn("_nth", nth).where((F.col("_nth") <= max(budget, 2)) & (F.col("_nth") * F.col("_size") <= budget)).drop("_nth")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used = 0
+        for pdf in batches:
+            keep = []
+            for size in pdf["_size"]:
+                keep.append(used + size <= budget)
+                used += size if keep[-1] else 0
+            yield pdf[keep]
+
+    return small.repartition(1).sortWithinPartitions("_n", group, text).mapInPandas(fit, small.schema).drop("_n", "_size")
+
+
+def interleave_until_full(df: DataFrame, group: str, order: Sequence[Column], text: str, budget: int) -> DataFrame:
+    """E9 as its first SQL twin has it: like :func:`interleave`, but the first text that does not fit ends the result.
+
     The running length looks only at rows that may still fit: no group gives more than the budget holds.
     """
     one = first_by(df, [text], [F.col(group), *order])
