@@ -239,6 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item."""
-    leaks = find_leaks(docs, benchmark, text, doc_id, item_id).select(F.col("doc_id").alias("_ll_leak")).distinct()
-    return docs.join(leaks, F.col(doc_id) == F.col("_ll_leak"), "left_anti")
+    """``docs`` without the documents that contain a benchmark item; rows are told apart by id and text, so ids may be null or repeated."""
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    leaks = find_leaks(docs.select(key.alias("_ll_key"), text), benchmark, text, "_ll_key", item_id).select(F.col("doc_id").alias("_ll_leak")).distinct()
+    return docs.join(leaks, key == F.col("_ll_leak"), "left_anti")
