@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +56,11 @@ def event_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merge_nodes(requests.unionByName(attempts).unionByName(nodes)), merge_edges(edges)
 
 
-def reach(start: DataFrame, edges: DataFrame, kinds: Sequence[str] | None = None, stop: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def reach(start: DataFrame, edges: DataFrame, kinds: Sequence[str] | None = None, stop: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """K3/K4: (id, depth) of all that ``start`` (id) reaches along ``kinds``; nodes in ``stop`` are not expanded.
 
     Each round joins only the new frontier with the edges and drops what is known, so cycles end.
+    It ends when nothing new is found; a caller's ``max_depth`` is where it is cut.
     """
     usable = edges.select("source", "target", "kind")
     if kinds is not None:
@@ -66,7 +68,7 @@ def reach(start: DataFrame, edges: DataFrame, kinds: Sequence[str] | None = None
     usable = stored(usable.select("source", "target").distinct(), "reach-edges")
     seen = stored(start.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         grow = frontier if stop is None else frontier.join(stop.select("id"), "id", "left_anti")
         new = grow.join(usable, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = stored(new.withColumn("depth", F.lit(depth)), "reach")
