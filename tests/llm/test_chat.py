@@ -52,6 +52,16 @@ def test_best_paths_match_brute_force(spark):
     assert got == {t: best_path(of) for t, of in trees.items()}
 
 
+def test_one_row_of_a_repeated_message_id_counts(spark):
+    rows = [(1, 1, None, "user", "hi", 0.0), (1, 2, 1, "assistant", "second", 5.0), (1, 2, 1, "assistant", "first", 2.0), (1, 3, 1, "assistant", "other", 3.0)]
+    schema = "tree_id long, message_id long, parent_id long, role string, text string, score double"
+    for order in (rows, rows[::-1]):
+        out = chat.format_trees(spark.createDataFrame(order, schema).repartition(3)).collect()
+        assert [chat.parse(r["formatted"]) for r in out] == [[("user", "hi"), ("assistant", "other")]]
+        both = chat.format_trees(spark.createDataFrame(order, schema), branches=2).where("branch = 2").head()
+        assert chat.parse(both["formatted"])[1] == ("assistant", "first")
+
+
 def test_linear_rows_nulls_and_ties(spark):
     rows = [(1, 0, "user", "a", "x"), (1, 1, None, None, "x"), (1, 1, "assistant", "b", "x"), (1, 1, "assistant", "b", "x"), (None, None, "user", "", "x"), (3, 5, "assistant", "<\\#", "x")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, score string")

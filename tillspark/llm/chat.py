@@ -13,8 +13,10 @@ The loss mask is a list of spans, in code points, that cover each assistant text
 
 Defined results: null roles and texts are empty; a message whose parent is missing is a root;
 messages on a reply cycle hang from no root and are left out; equal branch scores prefer the
-longer path, then the smaller leaf id. Trees and ids may be null (null is a tree of its own;
-null message ids never occur in trees made by :func:`linear`). Empty tables give empty results.
+longer path, then the smaller leaf id. Of rows that share a tree and a message id the first by
+parent id, score and a hash of role and text counts, nulls first: for its score and its text
+alike. Trees and ids may be null (null is a tree of its own; null message ids never occur in
+trees made by :func:`linear`). Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, written
@@ -76,6 +78,12 @@ def linear(rows: DataFrame, tree: str = "conv_id", order: str = "turn") -> DataF
     )
 
 
+def _standing(messages: DataFrame) -> Column:
+    """The order in which one of several rows of a message id is chosen."""
+    said = [F.col(c) for c in ("role", "text") if c in messages.columns]
+    return F.struct(F.col("parent_id").alias("p"), F.coalesce("score", F.lit(0.0)).alias("score"), (F.xxhash64(*said) if said else F.lit(0)).alias("said"))
+
+
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The ``branches`` best root-to-leaf paths of each tree.
 
@@ -86,14 +94,13 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         F.coalesce(F.col("tree_id").cast("string"), F.lit("")).alias("t"),
         F.col("tree_id").isNull().alias("tn"),
         F.col("message_id").alias("m"),
-        F.col("parent_id").alias("p"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        _standing(messages).alias("s"),
     )
     tree = ["t", "tn"]
+    plain = plain.groupBy(*tree, "m").agg(F.min("s").alias("s")).select(*tree, "m", "s.p", "s.score")
     known = plain.select(*tree, F.col("m").alias("p"), F.lit(True).alias("known")).distinct()
     start = (
-        plain.dropDuplicates([*tree, "m"])
-        .join(known, [*tree, "p"], "left")
+        plain.join(known, [*tree, "p"], "left")
         .select(*tree, "m", F.when(F.col("known"), F.col("p")).alias("up"), F.col("score").alias("gained"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"))
     )
     # ``gained`` and ``steps``: score and replies of the way up that a row knows, its target not counted.
@@ -142,7 +149,8 @@ def format_paths(messages: DataFrame, paths: DataFrame, learned: str = "assistan
             yield pd.DataFrame({"formatted": [t for t, _ in rows], "loss_spans": [[{"start": a, "stop": b} for a, b in s] for _, s in rows]})
 
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    m = messages.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), empty("role"), empty("text")).dropDuplicates(["t", "m"])
+    m = messages.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.struct(empty("role"), empty("text")).alias("said"), _standing(messages).alias("s"))
+    m = m.groupBy("t", "m").agg(F.min_by("said", "s").alias("said")).select("t", "m", "said.*")
     turns = (
         paths.join(m, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")))
         .groupBy("tree_id", "branch")
