@@ -24,6 +24,8 @@ from .samples import in_order, labelled_sample
 
 PASSAGE_WORDS, BAG, HIDDEN = 50, 32, 16
 PER_CLASS = 600
+#: Passages that are scored at once.
+TOGETHER = 20_000
 THRESHOLD = 0.7
 
 #: Classes of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 symbol, 5 punctuation, 6 space, 7 newline, 8 beyond ASCII.
@@ -133,19 +135,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
     return fit([(np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES), r["y"]) for r in rows])
 
 
+def _bags(texts: pd.Series) -> Iterator[list[np.ndarray]]:
+    """The passages of whole texts, for as many texts at once as have ``TOGETHER`` passages."""
+    some, size = [], 0
+    for text in texts:
+        some.append(passages(text))
+        size += len(some[-1])
+        if size >= TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def score(docs: DataFrame, model: AttentionMIL, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def together(bags: list[np.ndarray]) -> np.ndarray:
+        starts = np.cumsum([0, *(len(b) for b in bags[:-1])])
+        return shared.value.forward(np.concatenate(bags), starts)[0]
+
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            bags = [passages(t) for t in batch]
-            if not bags:
-                yield pd.Series([], dtype="float64")
-                continue
-            starts = np.cumsum([0, *(len(b) for b in bags[:-1])])
-            yield pd.Series(shared.value.forward(np.concatenate(bags), starts)[0].astype("float64"))
+            yield pd.Series(np.concatenate([np.empty(0), *map(together, _bags(batch))]))
 
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*columns, scored(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

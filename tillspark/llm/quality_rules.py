@@ -2,13 +2,15 @@
 
 Every line with a word gets a vector of shape features. A conditional random field over the
 sequence (one weight per state and feature, one per pair of neighbouring states) is learned
-from labelled documents: lines of good documents are content, lines of bad ones boilerplate.
+from labelled documents: lines of good documents are mostly content, lines of bad ones mostly
+boilerplate; which ones are not is found by decoding and learning again.
 Viterbi decoding marks the lines of every whole text, and a document is kept if its content
 lines hold at least ``MIN_CONTENT`` of the characters of all its lines. Fitting takes a bounded
 sample (``per_class`` documents of each class); with no labels the prior weights stand.
 
 Defined results: a null, empty or wordless text has no words and fails the base rules. Ids may
-be null or repeated, empty tables give empty results, and other columns pass through.
+be null or repeated, empty tables give empty results, and other columns pass through; a column
+that has the name of an added one is replaced, unless a prefix gives the added ones other names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .samples import in_order, labelled_sample
 
 PER_CLASS = 400
+#: Bytes of text that a class brings to the fit at most, lines in a piece of a sequence, and the lean towards a document's label.
+MAX_BYTES, PIECE, TRUST = 2 << 20, 128, 2.0
 MIN_CONTENT = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
@@ -75,10 +79,10 @@ class LineCRF:
     emit: np.ndarray
     move: np.ndarray
 
-    def decode(self, x: np.ndarray) -> list[int]:
-        """The most probable sequence of states (Viterbi); ties go to the lower state."""
+    def decode(self, x: np.ndarray, lean: np.ndarray | float = 0.0) -> list[int]:
+        """The most probable sequence of states (Viterbi); ties go to the lower state. ``lean`` is added to each line's scores."""
         (m00, m01), (m10, m11) = self.move.tolist()
-        scores = (x @ self.emit.T).tolist()
+        scores = (x @ self.emit.T + lean).tolist()
         if not scores:
             return []
         a, b = scores[0]
@@ -95,46 +99,91 @@ class LineCRF:
         return states[::-1]
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], steps: int = 120, rate: float = 0.1, l2: float = 0.02) -> LineCRF:
-    """Maximum likelihood by Adam, with a Gaussian prior around the prior weights.
+def untaught() -> LineCRF:
+    return LineCRF(np.stack([-_prior(), _prior()]) / 2, np.array([[0.3, -0.3], [-0.3, 0.3]]))
 
-    Sequences are padded to a common length and run forward and backward together.
+
+class Lattice:
+    """Sequences by time step, the longest first: step t holds line t of every sequence that has one.
+
+    Nothing is padded, so the size is that of the lines, and a step is one vector operation.
     """
-    prior = np.stack([-_prior(), _prior()]) / 2
-    emit, move = prior.copy(), np.array([[0.3, -0.3], [-0.3, 0.3]])
-    sequences = [(x, y) for x, y in sequences if len(x)]
-    if not sequences:
-        return LineCRF(emit, move)
-    n, longest = len(sequences), max(len(x) for x, _ in sequences)
-    feats = np.zeros((n, longest, len(FEATURES)), dtype=np.float64)
-    size = np.array([len(x) for x, _ in sequences])
-    for i, (x, _) in enumerate(sequences):
-        feats[i, : len(x)] = x
-    y = np.array([v for _, v in sequences])
-    live = np.arange(longest)[None, :] < size[:, None]
-    want_emit = np.stack([feats[y == s].sum(axis=(0, 1)) for s in (0, 1)])
-    want_move = np.diag([(size[y == s] - 1).sum() for s in (0, 1)]).astype(float)
-    total = size.sum()
-    m = [np.zeros_like(emit), np.zeros_like(move)]
-    v = [np.zeros_like(emit), np.zeros_like(move)]
-    soft = lambda z, axis: (t := z.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - t).sum(axis=axis))
+
+    def __init__(self, sequences: list[tuple[np.ndarray, np.ndarray]]):
+        sequences = sorted(sequences, key=lambda s: -len(s[0]))
+        size = np.array([len(x) for x, _ in sequences])
+        self.active = np.array([(size > t).sum() for t in range(size[0])])
+        self.offset = np.cumsum(self.active) - self.active
+        owner = np.repeat(np.arange(len(size)), size)
+        t = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        at = self.offset[t] + owner
+        self.x = np.empty((len(owner), sequences[0][0].shape[1]), dtype=np.float32)
+        self.x[at] = np.concatenate([x for x, _ in sequences])
+        self.y = np.empty(len(owner), dtype=np.int64)
+        self.y[at] = np.concatenate([y for _, y in sequences])
+        self.owner = np.empty(len(owner), dtype=np.int64)
+        self.owner[at] = owner
+        self.last = self.offset[size - 1] + np.arange(len(size))
+        # Lines with one before them, and that one.
+        self.later = np.arange(self.active[0], len(owner))
+        self.before = np.concatenate([self.offset[k - 1] + np.arange(self.active[k]) for k in range(1, len(self.active))] or [np.empty(0, dtype=np.int64)])
+
+    def wanted(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each state meets each feature, and each next state, as labelled."""
+        move = np.bincount(2 * self.y[self.before] + self.y[self.later], minlength=4).reshape(2, 2)
+        return np.stack([self.x[self.y == s].sum(axis=0, dtype=np.float64) for s in (0, 1)]), move.astype(float)
+
+    def expected(self, crf: LineCRF) -> tuple[np.ndarray, np.ndarray, float]:
+        """The same as the model expects it, by forward and backward sums, and the log of its total."""
+        e = self.x @ crf.emit.T
+        ahead, behind = e.copy(), np.zeros_like(e)
+        move = crf.move
+        for t in range(1, len(self.active)):
+            now, old = slice(self.offset[t], self.offset[t] + self.active[t]), slice(self.offset[t - 1], self.offset[t - 1] + self.active[t])
+            ahead[now] += np.logaddexp(ahead[old, :1] + move[0], ahead[old, 1:] + move[1])
+        for t in range(len(self.active) - 1, 0, -1):
+            now, old = slice(self.offset[t], self.offset[t] + self.active[t]), slice(self.offset[t - 1], self.offset[t - 1] + self.active[t])
+            come = e[now] + behind[now]
+            behind[old] = np.logaddexp(come[:, :1] + move[:, 0], come[:, 1:] + move[:, 1])
+        z = np.logaddexp(ahead[self.last, 0], ahead[self.last, 1])
+        p = np.exp(ahead + behind - z[self.owner, None])
+        come = (e + behind)[self.later] - z[self.owner[self.later], None]
+        pair = np.exp(ahead[self.before][:, :, None] + move + come[:, None, :])
+        return p.T @ self.x, pair.sum(axis=0), float(z.sum())
+
+
+def _fitted(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float, l2: float) -> LineCRF:
+    """Maximum likelihood of labelled lines by Adam, with a Gaussian prior around the prior weights."""
+    crf, prior = untaught(), untaught().emit
+    pieces = [(x[k : k + PIECE], y[k : k + PIECE]) for x, y in sequences for k in range(0, len(x), PIECE)]
+    lattice = Lattice(pieces)
+    want_emit, want_move = lattice.wanted()
+    total = len(lattice.y)
+    params = [crf.emit, crf.move]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        e = feats @ emit.T
-        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            ahead[:, t] = np.where(live[:, t, None], e[:, t] + soft(ahead[:, t - 1, :, None] + move, 1), ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            behind[:, t] = np.where(live[:, t + 1, None], soft(move + (e[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0)
-        z = soft(ahead[:, -1], 1)
-        p = np.exp(ahead + behind - z[:, None, None]) * live[..., None]
-        pair = np.exp(ahead[:, :-1, :, None] + move + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
-        grads = [(np.einsum("nts,ntf->sf", p, feats) - want_emit) / total + l2 * (emit - prior), (pair.sum(axis=(0, 1)) - want_move) / total + l2 * move]
-        for k, (param, g) in enumerate(zip((emit, move), grads, strict=True)):
+        emit, move, _ = lattice.expected(crf)
+        grads = [(emit - want_emit) / total + l2 * (crf.emit - prior), (move - want_move) / total + l2 * crf.move]
+        for k, (param, g) in enumerate(zip(params, grads, strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             param -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return LineCRF(emit, move)
+    return crf
+
+
+def fit(sequences: list[tuple[np.ndarray, int]], steps: int = 120, rate: float = 0.1, l2: float = 0.02, rounds: int = 2, trust: float = TRUST) -> LineCRF:
+    """Lines take their document's label first; then the model that this gives decodes them with a
+    lean of ``trust`` towards that label, and learns from the states it finds, changes of state included.
+
+    Sequences are cut into pieces of ``PIECE`` lines for learning, so the longest text is a few steps.
+    """
+    labelled = [(x, np.full(len(x), y)) for x, y in sequences if len(x)]
+    crf = untaught()
+    for k in range(rounds if labelled else 0):
+        crf = _fitted(labelled, steps, rate, l2)
+        if k + 1 < rounds:
+            labelled = [(x, np.array(crf.decode(x, trust * np.eye(2)[y]))) for x, y in sequences if len(x)]
+    return crf
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, per_class: int = PER_CLASS) -> LineCRF:
@@ -142,11 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "h": pdf["h"], "x": [lines_of(t)[0].tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "h": pdf["h"], "x": [lines_of(t)[0].astype(bool).tobytes() for t in pdf["text"]]})
 
-    sample = labelled_sample(docs, labels, label, per_class, usable).withColumn("h", F.xxhash64("doc_id", "text"))
+    sample = labelled_sample(docs, labels, label, per_class, usable, MAX_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
     rows = in_order(sample.mapInPandas(extract, "doc_id long, y int, h long, x binary").collect())
-    return fit([(np.frombuffer(r["x"], dtype=np.float32).reshape(-1, len(FEATURES)), r["y"]) for r in rows])
+    return fit([(np.frombuffer(r["x"], dtype=bool).reshape(-1, len(FEATURES)).astype(np.float32), r["y"]) for r in rows])
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -199,8 +248,8 @@ def content_share(text: str | None, crf: LineCRF) -> float:
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
 
-def judge(docs: DataFrame, crf: LineCRF, text: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``content_share`` and ``kept``."""
+def judge(docs: DataFrame, crf: LineCRF, text: str = "text", min_content: float = MIN_CONTENT, prefix: str = "") -> DataFrame:
+    """``docs`` with the counts, ``base_failed``, ``content_share`` and ``kept``, each under its name after ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     names = [x.split()[0] for x in RESULT.split(", ")]
 
@@ -214,5 +263,6 @@ def judge(docs: DataFrame, crf: LineCRF, text: str = "text", min_content: float
                 rows.append((*base, share, not base[-1] and share >= min_content))
             yield pd.DataFrame(rows, columns=names)
 
-    columns = [c for c in docs.columns if c not in names]
-    return docs.select(*columns, judged(F.col(text)).alias("_ll_judged")).select(*columns, "_ll_judged.*")
+    columns = [c for c in docs.columns if c not in [prefix + n for n in names]]
+    out = docs.select(*columns, judged(F.col(text)).alias("_ll_judged"))
+    return out.select(*columns, *[F.col(f"_ll_judged.{n}").alias(prefix + n) for n in names])
