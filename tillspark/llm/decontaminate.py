@@ -26,18 +26,20 @@ repeated matches; ids may be null; empty tables give empty results; other column
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_EDITS = 0.25
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Shortest item of a class, window and stride in words, sampled places of the embedding, repeats.
 CLASSES = ((40, 12, 4, 5, 6), (24, 8, 3, 4, 6), (14, 6, 2, 4, 6), (9, 5, 1, 4, 6), (5, 4, 1, 3, 10), (1, 1, 1, 1, 6))
 CHUNK_WORDS = 400_000
@@ -74,7 +76,7 @@ def partial_keys(h: np.ndarray, starts: np.ndarray, repeat: int, window: int, sa
         key ^= key >> np.uint64(31)
         keys.append(key)
         if known is not None:
-            stay = known[n][(key >> np.uint64(44)).astype(np.int64)]
+            stay = known[n][(key >> np.uint64(65 - len(known[n]).bit_length())).astype(np.int64)]
             at, offset, key = at[stay], offset[stay], key[stay]
             keys = [key]
     return at, keys
@@ -100,13 +102,15 @@ class ItemClass:
             joined += [h, np.zeros(self.window, dtype=np.uint64)]
             at += len(h) + self.window
         joined, starts = np.concatenate(joined), np.array(starts, dtype=np.int64)
+        # Eight places for each key keep walks short that no item has begun.
+        self.bits = max(16, (8 * len(starts)).bit_length())
         self.tables, self.entries = [], []
         for r in range(self.repeats):
             _, keys = partial_keys(joined, starts, r, self.window, self.sampled)
             tables = []
             for key in keys:
-                table = np.zeros(1 << 20, dtype=bool)
-                table[(key >> np.uint64(44)).astype(np.int64)] = True
+                table = np.zeros(1 << self.bits, dtype=bool)
+                table[(key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
                 tables.append(table)
             self.tables.append(tables)
             order = np.argsort(keys[-1], kind="stable")
@@ -188,6 +192,31 @@ def matches(docs: list[np.ndarray], classes: list[ItemClass]) -> list[tuple[int,
     return [(doc, item, *found) for (doc, item), found in sorted(best.items())]
 
 
+_prepared: dict[str, list[ItemClass]] = {}
+
+
+def _classes(shared: Broadcast) -> list[ItemClass]:
+    """The classes of a block of items, made once in each Python worker; a worker keeps those of one block."""
+    name, block = shared.value
+    if name not in _prepared:
+        _prepared.clear()
+        _prepared[name] = classes_of(block)
+    return _prepared[name]
+
+
+def _in_chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Words of whole texts, as many texts at once as have CHUNK_WORDS words, and the number of the first."""
+    some, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        some.append(words_of(text))
+        size += len(some[-1])
+        if size >= CHUNK_WORDS:
+            yield first, some
+            some, first, size = [], k + 1, 0
+    if some:
+        yield first, some
+
+
 MATCH = "doc_id long, item_id long, edits int, item_words int, start_word long, stop_word long"
 
 
@@ -213,33 +242,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in _blocks(benchmark, text, item_id):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            classes = classes_of(shared.value)
             for pdf in batches:
                 ids = pdf["doc_id"].astype("Int64")
-                some, owners, size = [], [], 0
-                for k, t in enumerate(pdf["text"]):
-                    some.append(words_of(t))
-                    owners.append(k)
-                    size += len(some[-1])
-                    if size >= CHUNK_WORDS or k + 1 == len(pdf):
-                        found = matches(some, classes)
-                        if found:
-                            doc = [owners[f[0]] for f in found]
-                            out = pd.DataFrame([f[1:] for f in found], columns=["item_id", "edits", "item_words", "start_word", "stop_word"])
-                            out.insert(0, "doc_id", ids.iloc[doc].array)
-                            yield out
-                        some, owners, size = [], [], 0
+                for first, some in _in_chunks(pdf["text"]):
+                    found = matches(some, _classes(shared))
+                    if found:
+                        out = pd.DataFrame([f[1:] for f in found], columns=["item_id", "edits", "item_words", "start_word", "stop_word"])
+                        out.insert(0, "doc_id", ids.iloc[[first + f[0] for f in found]].array)
+                        yield out
 
         part = plain.mapInPandas(search, MATCH)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else plain.where("false").select("doc_id").selectExpr("doc_id", *[f"cast(null as {x.split()[1]}) as {x.split()[0]}" for x in MATCH.split(", ")[1:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item; rows are told apart by id and text, so ids may be null or repeated."""
-    key = F.xxhash64(F.col(doc_id), F.col(text))
-    leaks = find_leaks(docs.select(key.alias("_ll_key"), text), benchmark, text, "_ll_key", item_id).select(F.col("doc_id").alias("_ll_leak")).distinct()
-    return docs.join(leaks, key == F.col("_ll_leak"), "left_anti")
+def _leaks(shared: Broadcast) -> Callable[[Column], Column]:
+    """Whether a text contains an item of the block."""
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            hit = np.zeros(len(batch), dtype=bool)
+            for first, some in _in_chunks(batch):
+                hit[[first + f[0] for f in matches(some, _classes(shared))]] = True
+            yield pd.Series(hit)
+
+    return leaks
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """``docs`` without the rows that contain a benchmark item.
+
+    Rows are judged where they are, by their text alone: nothing is shuffled, ids do not matter,
+    and only texts cross to Python.
+    """
+    for block in _blocks(benchmark, text, item_id):
+        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)))(F.col(text)))
+    return docs
