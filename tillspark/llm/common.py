@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,15 @@ _scratch: set[str] = set()
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session that names none (a local test) gets a temporary folder of its own.
+    Only a local session that names none (a test) gets a temporary folder of its own; on a
+    cluster such a folder would be another one on each machine.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tillspark-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -40,7 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _scratch:
         atexit.register(_drop_all, spark)
     _scratch.add(path)
-    df.write.parquet(path)
+    with _shuffles_end_with_the_write(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
@@ -55,13 +60,16 @@ def drop(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, so that Spark removes the shuffle files of finished steps.
-
-    They would stay on the executors' disks until the driver happens to collect.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _shuffles_end_with_the_write(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a step go when its table is written: whoever reads it never needs them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
