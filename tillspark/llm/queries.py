@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, near_dup, quality_mil, quality_rules, suffix_dedup, toxicity
 from .common import crc_fold, table
-from .line_dedup import MAX_CHARS, MIN_SITES, dedup_lines
+from .line_dedup import MIN_SITES, dedup_lines
 from .url_filter import filter_urls, key_table
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Domains that are blocked where no rule fits.
-BLOCKED_HOSTS = ("adult-x.example.net", "casino-win.example.net", "spam-farm.example.org", "phish.example.com")
+BLOCKED_HOSTS = ("adult-x.example.net", "ads-track.example.com", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "phish.example.com", "spam-farm.example.com")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ trimmed AS (
   SELECT *, trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS line FROM lines),
 spread AS (
   SELECT line, arg_min(struct_pack(d := doc_id, p := pos), struct_pack(d := doc_id, p := pos)) AS first
-  FROM trimmed WHERE line <> '' AND length(line) <= {MAX_CHARS}
+  FROM trimmed WHERE line <> ''
   GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
 marked AS (
   SELECT t.doc_id, t.pos, t.raw, t.line,
