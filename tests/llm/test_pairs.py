@@ -76,15 +76,38 @@ def test_near_duplicates_match_brute_force(spark, copies):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-def test_deeper_levels_and_dense_nodes_match_brute_force(spark, copies, monkeypatch):
-    """With nodes of at most four members nearly everything branches on or is dense."""
+@pytest.mark.parametrize("heavy", [near_dup.HEAVY, 0.01, 1.0])
+def test_deeper_levels_and_dense_nodes_match_brute_force(spark, copies, monkeypatch, heavy):
+    """With nodes of at most four members nearly everything branches on or is dense; all, some or no nodes are heavy."""
     monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "HEAVY", heavy)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     docs = spark.createDataFrame(copies, "doc_id long, text string")
     out = near_dup.near_duplicates(docs).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == brute_components(copies)
 
 
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """As many documents as sf0.1 has: 2,500 pairs with 0.75 to 0.80 of their shingles in common, among 5,000 others."""
+    docs, want = [(20_000 + i, prose(50_000 + i, 40)) for i in range(5_000)], set()
+    for k in range(2_500):
+        base = prose(100_000 + k, 120).replace("\n", " ").split(" ")
+        other, x = base[:], set(near_dup.shingles(" ".join(base)).tolist())
+        # Words are swapped one by one, each taking up to five shingles, until the pair is near the threshold.
+        for at in random.Random(k).sample(range(len(base)), len(base)):
+            other[at] = f"swap{k}x{at}"
+            y = set(near_dup.shingles(" ".join(other)).tolist())
+            if 100 * len(x & y) < 80 * len(x | y):
+                break
+        if 100 * len(x & y) >= 75 * len(x | y):
+            want.add(2 * k + 1)
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    assert len(want) > 2_000
+    out = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
+    linked = {r["doc_id"] for r in out.where("not kept").collect()}
+    assert linked <= want and len(linked) >= 0.99 * len(want)
+
+
 def test_near_duplicates_of_odd_tables(odd_docs, no_docs):
     out = near_dup.near_duplicates(odd_docs).collect()
     assert len(out) == odd_docs.count()
