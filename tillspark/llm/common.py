@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch that crosses to a Python worker.
+BATCH_BYTES = 8 << 20
+
 _scratch: set[str] = set()
 
 
@@ -34,6 +37,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts cross to Python in batches of ``BATCH_BYTES``: a worker's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again.
 
@@ -44,6 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _scratch:
         atexit.register(_drop_all, spark)
     _scratch.add(path)
+    bounded_batches(spark)
     with _shuffles_end_with_the_write(spark):
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -100,4 +109,5 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -42,7 +42,7 @@ MAX_EDITS = 0.25
 BLOCK_WORDS = 500_000
 #: Shortest item of a class, window and stride in words, sampled places of the embedding, repeats.
 CLASSES = ((40, 12, 4, 5, 6), (24, 8, 3, 4, 6), (14, 6, 2, 4, 6), (9, 5, 1, 4, 6), (5, 4, 1, 3, 10), (1, 1, 1, 1, 6))
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 _EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
