@@ -53,7 +53,7 @@ def test_duplicate_scores(spark):
     out = {r["id"]: r for r in decisions.duplicate_score(spark.createDataFrame(rows, names)).collect()}
     assert out[1]["disposition"] == "exact_duplicate" and {"identifier_match", "items_near_exact"} <= set(out[1]["reasons"])
     assert out[2]["score"] == 15 + 15 + 10 + 10 and out[2]["disposition"] == "needs_review"
-    assert out[3]["score"] == 18 and out[3]["reasons"] == ["same_day", "total_near"] and out[3]["disposition"] == "distinct"
+    assert out[3]["score"] == 18 and out[3]["reasons"] == ["same_day", "total_within_5pct"] and out[3]["disposition"] == "distinct"
 
 
 def test_allocation_reasons_and_status(spark):

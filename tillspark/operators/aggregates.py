@@ -85,6 +85,7 @@ def reconciliation_sums(items: DataFrame, key: str = "expense_pk", amount: str =
         whole(amount).cast("decimal(24,2)").alias("item_sum"),
         F.when(F.count_if(F.col(amount).isNull() & F.col("category").isNotNull()) == 0, F.sum(F.when(F.col("category").isNotNull(), F.col(amount)))).cast("decimal(24,2)").alias("categorized_sum"),
         F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col(amount).isNull() & F.col("category").isNotNull()).alias("categorized_missing"),
     )
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .aggregates import best_and_margin
 from .relational import unique_or_null
 
-# Points and thresholds of the duplicate score.
+# Points, thresholds and reason names of the duplicate score.
 SAME_ID, SAME_MERCHANT, CLOSE_TIME, SAME_DAY, SAME_TOTAL, NEAR_TOTAL, SAME_CARD = 45, 15, 15, 8, 20, 10, 10
-ITEM_POINTS = ((0.90, 25, "items_near_exact"), (0.70, 18, "items_very_similar"), (0.50, 10, "items_similar"))
+ITEM_POINTS = ((0.90, 25, "items_near_exact"), (0.70, 18, "items_strong_overlap"), (0.50, 10, "items_partial_overlap"))
 EXACT, PROBABLE, REVIEW = 90, 70, 50
 
 
@@ -28,11 +28,13 @@ def normalized_id(c: Column) -> Column:
 def duplicate_score(pairs: DataFrame) -> DataFrame:
     """Score, reasons and disposition of pairs with columns left_* and right_*.
 
-    Sides have id, merchant, at (timestamp), total (decimal), card and items (array of strings).
+    Sides have id, merchant, at (timestamp), total (decimal), card and items (array of strings);
+    with an order id, too, it counts as an identifier like the id.
     """
     both = lambda c: (F.col(f"left_{c}"), F.col(f"right_{c}"))
     same = lambda a, b: F.coalesce(a == b, F.lit(False))
-    same_id = same(*map(normalized_id, both("id")))
+    ids = lambda side: F.array_compact(F.array(*[normalized_id(F.col(f"{side}_{c}")) for c in ("id", "order") if f"{side}_{c}" in pairs.columns]))
+    same_id = F.coalesce(F.arrays_overlap(ids("left"), ids("right")), F.lit(False))
     same_merchant = same(*map(normalized_id, both("merchant")))
     a, b = both("at")
     seconds = F.abs(F.unix_timestamp(a.cast("timestamp")) - F.unix_timestamp(b.cast("timestamp")))
@@ -41,23 +43,25 @@ def duplicate_score(pairs: DataFrame) -> DataFrame:
     x, y = both("total")
     apart = F.abs(x - y)
     total = F.coalesce(apart <= 0.01, F.lit(False))
-    near = F.coalesce(apart <= F.greatest(F.abs(x), F.abs(y)) * F.lit(0.05).cast("decimal(3,2)"), F.lit(False)) & ~total
+    near = F.coalesce(apart <= F.greatest(F.abs(x), F.abs(y), F.lit("0.01").cast("decimal(3,2)")) * F.lit("0.05").cast("decimal(3,2)"), F.lit(False)) & ~total
     card = same(*both("card"))
     alike = F.coalesce(jaccard(*both("items")), F.lit(0.0))
-    flags = [(same_id, SAME_ID, "identifier_match"), (same_merchant, SAME_MERCHANT, "merchant_match"), (close, CLOSE_TIME, "time_close"), (day, SAME_DAY, "same_day"), (total, SAME_TOTAL, "total_exact"), (near, NEAR_TOTAL, "total_near"), (card, SAME_CARD, "card_match")]
+    flags = [(same_id, SAME_ID, "identifier_match"), (same_merchant, SAME_MERCHANT, "merchant_match"), (close, CLOSE_TIME, "time_within_5m"), (day, SAME_DAY, "same_day"), (total, SAME_TOTAL, "total_exact"), (near, NEAR_TOTAL, "total_within_5pct"), (card, SAME_CARD, "card_match")]
     above = F.lit(2.0)
     for least, points, name in ITEM_POINTS:
         flags.append(((alike >= least) & (alike < above), points, name))
         above = F.lit(least)
+    correlated = same_merchant & close & (alike >= 0.5)
     score = sum((F.when(f, p).otherwise(0) for f, p, _ in flags), F.lit(0))
+    flags.append((correlated, 0, "merchant_time_item_correlation"))
     reasons = F.array_compact(F.array(*[F.when(f, n) for f, _, n in flags]))
     disposition = (
         F.when(F.col("score") >= EXACT, "exact_duplicate")
         .when(F.col("score") >= PROBABLE, "probable_duplicate")
-        .when((F.col("score") >= REVIEW) | (same_merchant & close & (alike >= 0.5)), "needs_review")
+        .when((F.col("score") >= REVIEW) | correlated, "needs_review")
         .otherwise("distinct")
     )
-    return pairs.withColumns({"score": score, "reasons": reasons, "item_similarity": alike}).withColumn("disposition", disposition)
+    return pairs.withColumns({"score": score, "reasons": reasons, "item_similarity": F.round(alike, 4)}).withColumn("disposition", disposition)
 
 
 def evidence_match(pairs: DataFrame, key: str, candidate: str) -> DataFrame:
@@ -75,42 +79,48 @@ def evidence_match(pairs: DataFrame, key: str, candidate: str) -> DataFrame:
     return best.withColumn("outcome", outcome).withColumn("matched", F.when(F.col("outcome") == "matched", F.col("best")))
 
 
-def reconcile_purchase(expenses: DataFrame, sums: DataFrame, tolerance: str = "0.01") -> DataFrame:
-    """Item sum and category splits against the total; not_checkable where a part is missing."""
-    t = F.lit(tolerance).cast("decimal(14,2)")
+def reconcile_purchase(purchases: DataFrame, sums: DataFrame, splits: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """Three checks of a purchase: items against the subtotal, the receipt equation, category splits against categorised items.
 
-    def check(value: Column, expected: Column) -> Column:
-        gap = F.abs(value - expected)
-        return F.when(gap.isNull(), "not_checkable").when(gap <= t, "pass").otherwise("fail")
-
-    joined = expenses.select("id", "total", "extraction_status").join(sums, F.col("id") == F.col("expense_pk"), "left")
-    out = joined.select(
-        "id",
-        check(F.col("item_sum"), F.col("total")).alias("item_status"),
-        check(F.col("categorized_sum"), F.col("item_sum")).alias("split_status"),
-        (F.col("item_sum") - F.col("total")).cast("decimal(24,2)").alias("item_variance"),
-        "extraction_status",
-    )
-    review = (F.col("item_status") != "pass") | (F.col("split_status") != "pass") | (F.col("extraction_status") != "complete")
-    return out.withColumn("requires_review", review).drop("extraction_status")
+    purchases: id, subtotal, taxes, fees, tip, discounts, total, equation_complete; sums as
+    :func:`reconciliation_sums` gives them; splits: expense_pk, split_sum. A sum that a missing
+    amount makes null is not checkable; a purchase without items or splits has sums of zero.
+    """
+    t, zero = F.lit(tolerance).cast("decimal(14,2)"), F.lit(0).cast("decimal(24,2)")
+    paid = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(14,2)"))
+    known = F.col("lines").isNotNull()
+    items = F.when(known, F.col("item_sum")).otherwise(zero)
+    categorized = F.when(known & (F.col("categorized_missing") > 0), F.lit(None).cast("decimal(24,2)")).otherwise(F.coalesce("categorized_sum", zero))
+    due = F.when(F.col("equation_complete"), F.col("subtotal") + paid("taxes") + paid("fees") + paid("tip") - paid("discounts"))
+    joined = purchases.join(sums, F.col("id") == F.col("expense_pk"), "left").drop("expense_pk").join(splits, F.col("id") == F.col("expense_pk"), "left")
+    checks = {"subtotal": (F.col("subtotal"), items), "total": (due, F.col("total")), "splits": (categorized, F.coalesce("split_sum", zero))}
+    columns = []
+    for name, (expected, actual) in checks.items():
+        gap = (actual - expected).cast("decimal(24,2)")
+        columns += [F.when(gap.isNull(), "not_checkable").when(F.abs(gap) <= t, "pass").otherwise("fail").alias(f"{name}_status"), gap.alias(f"{name}_variance")]
+    return joined.select("id", *columns)
+
+
+# The rules of a complete purchase and of a complete line.
+PURCHASE_RULES = ("missing_source", "missing_order_id", "missing_store_name", "missing_transaction_date", "missing_expense_total", "missing_items")
+LINE_RULES = ("invalid_item_id", "item_missing_name", "item_missing_line_total")
 
 
 def required_fields(expenses: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each missing field of a purchase or of one of its lines."""
+    """One row for each missing field of a purchase or of one of its lines.
+
+    A purchase needs a date or a time of payment, where it has that column, and at least one line.
+    """
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    head = F.array_compact(
-        F.array(
-            F.when(blank("source"), "source_required"),
-            F.when(blank("order_id"), "order_id_required"),
-            F.when(F.col("order_date").isNull(), "date_required"),
-            F.when(blank("store_name"), "store_required"),
-            F.when(F.col("total").isNull(), "total_required"),
-        )
-    )
-    line = F.array_compact(
-        F.array(F.when(blank("item_name"), "item_name_required"), F.when(F.col("line_total").isNull(), "line_total_required"), F.when(blank("category"), "category_required"))
-    )
-    top = expenses.select(F.col("id").alias("expense_pk"), F.lit(None).cast("long").alias("item_id"), F.explode(head).alias("rule"))
+    undated = F.col("order_date").isNull()
+    if "transaction_datetime" in expenses.columns:
+        undated = undated & F.col("transaction_datetime").isNull()
+    has = items.select(F.col("expense_pk").alias("_pk")).distinct()
+    broken = (blank("source"), blank("order_id"), blank("store_name"), undated, F.col("total").isNull(), F.col("_pk").isNull())
+    head = F.array_compact(F.array(*[F.when(b, rule) for b, rule in zip(broken, PURCHASE_RULES, strict=True)]))
+    wrong = (F.col("item_id") <= 0, blank("item_name"), F.col("line_total").isNull())
+    line = F.array_compact(F.array(*[F.when(b, rule) for b, rule in zip(wrong, LINE_RULES, strict=True)]))
+    top = expenses.join(has, F.col("id") == F.col("_pk"), "left").select(F.col("id").alias("expense_pk"), F.lit(None).cast("long").alias("item_id"), F.explode(head).alias("rule"))
     below = items.select("expense_pk", F.col("item_id").cast("long").alias("item_id"), F.explode(line).alias("rule"))
     return top.unionByName(below)
 

@@ -213,11 +213,25 @@ def candidate_pool(candidates: DataFrame, key: str, most: int = 8) -> DataFrame:
     return per_url.withColumn("_d", diverse).withColumn("card", F.row_number().over(order)).where(F.col("card") <= most).drop("_d")
 
 
+# Fixed value: why a pair below the score is shown.
+SAME_TIME_AND_TOTAL = "low_score_same_time_total_requires_human_review"
+
+
 def duplicate_capture(scored: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Scored pairs (left, right) to show: not resolved before; linked by itself only where a
-    document has one exact candidate."""
-    open_pairs = scored.where("disposition <> 'distinct'").join(resolved, ["left_pk", "right_pk"], "left_anti")
-    exact = open_pairs.where("disposition = 'exact_duplicate'").groupBy("right_pk").agg(F.count(F.lit(1)).alias("n"), F.min("left_pk").alias("only"))
-    j = open_pairs.join(exact, "right_pk", "left")
-    auto = (F.col("disposition") == "exact_duplicate") & (F.col("n") == 1) & (F.col("only") == F.col("left_pk"))
-    return j.select("left_pk", "right_pk", "score", "disposition", F.coalesce(auto, F.lit(False)).alias("auto_link"))
+    """Scored pairs (left, right) to show, and whether the left one is linked by itself.
+
+    Not those resolved before. Distinct pairs of the same time and total are shown for review. A
+    link needs an exact score by an identifier of six digits or more at a precise time, and no
+    second such pair of the same document. scored: left_pk, right_pk, left_id, left_at, score,
+    disposition, reasons.
+    """
+    has = lambda reason: F.array_contains("reasons", reason)
+    distinct = F.col("disposition") == "distinct"
+    shown = scored.where(~distinct | (has("time_within_5m") & has("total_exact"))).join(resolved, ["left_pk", "right_pk"], "left_anti")
+    shown = shown.withColumns({"reasons": F.when(distinct, F.array_append("reasons", SAME_TIME_AND_TOTAL)).otherwise(F.col("reasons")), "disposition": F.when(distinct, "needs_review").otherwise(F.col("disposition"))})
+    precise = F.date_format("left_at", "HH:mm:ss") != "00:00:00"
+    strong = F.length(F.regexp_replace(F.coalesce("left_id", F.lit("")), r"\D", "")) >= 6
+    shown = shown.withColumn("_exact", F.coalesce((F.col("disposition") == "exact_duplicate") & precise & strong & has("identifier_match"), F.lit(False)))
+    count = shown.where("_exact").groupBy("left_pk").agg(F.count(F.lit(1)).alias("_n"))
+    out = shown.join(count, "left_pk", "left")
+    return out.select("left_pk", "right_pk", "score", "disposition", "reasons", (F.col("_exact") & (F.col("_n") == 1)).alias("auto_link"))

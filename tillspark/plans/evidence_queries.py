@@ -13,6 +13,7 @@ from ..operators import joins as jo
 from ..operators import relational as re
 from ..operators import state as st
 from ..sources import bindings as bi
+from .relational_queries import _SCORED, scored_pairs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -281,19 +282,16 @@ def h37(s, d):
 
 @query(
     "i2_duplicate_capture",
-    """, p AS (SELECT a.id AS left_pk, b.id AS right_pk, 30 + CASE WHEN abs(a.total - b.total) <= 0.01 THEN 20 WHEN abs(a.total - b.total) <= greatest(abs(a.total), abs(b.total)) * 0.05 THEN 10 ELSE 0 END + CASE WHEN a.card_last4 = b.card_last4 THEN 10 ELSE 0 END AS score
-      FROM expenses a JOIN expenses b ON a.store_name = b.store_name AND a.order_date = b.order_date AND a.id < b.id),
-    c AS (SELECT *, CASE WHEN score >= 50 THEN 'exact_duplicate' WHEN score >= 40 THEN 'probable_duplicate' ELSE 'distinct' END AS disposition FROM p),
-    o AS (SELECT * FROM c WHERE disposition <> 'distinct' AND left_pk % 10 <> 0), x AS (SELECT right_pk, count(*) AS n, min(left_pk) AS only FROM o WHERE disposition = 'exact_duplicate' GROUP BY 1)
-    SELECT o.left_pk, o.right_pk, CAST(o.score AS INTEGER) AS score, o.disposition, coalesce(o.disposition = 'exact_duplicate' AND x.n = 1 AND x.only = o.left_pk, false) AS auto_link FROM o LEFT JOIN x USING (right_pk)""",
+    f""", {_SCORED}, shown AS (SELECT left_pk, right_pk, left_id, left_at, score, CASE WHEN disposition = 'distinct' THEN reasons || '|low_score_same_time_total_requires_human_review' ELSE reasons END AS reasons,
+      CASE WHEN disposition = 'distinct' THEN 'needs_review' ELSE disposition END AS disposition FROM disposed
+      WHERE (disposition <> 'distinct' OR (contains(reasons, 'time_within_5m') AND contains(reasons, 'total_exact'))) AND left_pk % 20 <> 0),
+    marked AS (SELECT *, disposition = 'exact_duplicate' AND strftime(left_at, '%H:%M:%S') <> '00:00:00' AND length(left_id) >= 6 AND contains(reasons, 'identifier_match') AS exact FROM shown)
+    SELECT left_pk, right_pk, CAST(score AS INTEGER) AS score, disposition, reasons, exact AND (sum(CASE WHEN exact THEN 1 ELSE 0 END) OVER (PARTITION BY left_pk)) = 1 AS auto_link FROM marked""",
 )
 def i2(s, d):
-    from .relational_queries import i1
-
-    scored = i1(s, d)
-    scored = scored.withColumn("disposition", F.when(F.col("score") >= 50, "exact_duplicate").when(F.col("score") >= 40, "probable_duplicate").otherwise("distinct"))
-    resolved = scored.where("left_pk % 10 = 0").select("left_pk", "right_pk")
-    return evd.duplicate_capture(scored, resolved)
+    scored = scored_pairs(s, d)
+    resolved = scored.where("left_pk % 20 = 0").select("left_pk", "right_pk")
+    return evd.duplicate_capture(scored, resolved).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query("i4_evidence_match")

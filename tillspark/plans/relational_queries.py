@@ -412,7 +412,7 @@ _SUMS = """sums AS (SELECT expense_pk, CASE WHEN count(*) = count(line_total) TH
 
 @query("d15_reconciliation_sums", f", {_SUMS} SELECT * FROM sums")
 def d15(s, d):
-    return ag.reconciliation_sums(bi.expense_items(s, d))
+    return ag.reconciliation_sums(bi.expense_items(s, d)).drop("categorized_missing")
 
 
 @query(
@@ -656,48 +656,78 @@ def h28(s, d):
     return bi.transactions(s, d).select("id", F.date_sub(c, 7).alias("earliest"), F.year(c).cast("long").alias("year"), F.datediff(c, F.lit("1995-01-01").cast("date")).cast("long").alias("days"))
 
 
-_PAIRS = """pairs AS (SELECT a.id AS left_pk, b.id AS right_pk, a.order_id AS left_id, b.order_id AS right_id, a.store_name AS left_merchant, b.store_name AS right_merchant, a.order_date AS left_at, b.order_date AS right_at,
-   a.total AS left_total, b.total AS right_total, a.card_last4 AS left_card, b.card_last4 AS right_card FROM expenses a JOIN expenses b ON a.store_name = b.store_name AND a.order_date = b.order_date AND a.id < b.id)"""
-
-
-@query(
-    "i1_duplicate_score",
-    f""", {_PAIRS}, scored AS (SELECT left_pk, right_pk, CASE WHEN left_id = right_id THEN 45 ELSE 0 END + 15 + 15
-       + CASE WHEN abs(left_total - right_total) <= 0.01 THEN 20 WHEN abs(left_total - right_total) <= greatest(abs(left_total), abs(right_total)) * 0.05 THEN 10 ELSE 0 END
-       + CASE WHEN left_card = right_card THEN 10 ELSE 0 END AS score FROM pairs)
-    SELECT left_pk, right_pk, CAST(score AS INTEGER) AS score, CASE WHEN score >= 90 THEN 'exact_duplicate' WHEN score >= 70 THEN 'probable_duplicate' WHEN score >= 50 THEN 'needs_review' ELSE 'distinct' END AS disposition FROM scored""",
-)
+_SIDE = """sides AS (SELECT e.id AS pk, CAST(e.account_id AS VARCHAR) || '00000' AS id, e.order_id AS ord, e.store_name AS merchant, e.card_last4 AS card, e.total,
+    CAST(e.order_date AS TIMESTAMP) + INTERVAL 1 MINUTE * CAST(e.id % 11 AS INT) AS at, x.names FROM expenses e LEFT JOIN (SELECT expense_pk, list(DISTINCT item_name) AS names FROM expense_items GROUP BY 1) x ON x.expense_pk = e.id)"""
+_SCORED = f"""{_SIDE},
+  pairs AS (SELECT a.pk AS left_pk, b.pk AS right_pk, a.id AS left_id, a.at AS left_at,
+      a.id = b.id OR a.ord = b.ord AS f1, coalesce(a.merchant = b.merchant, false) AS f2, abs(epoch(a.at) - epoch(b.at)) <= 300 AS f3, CAST(a.at AS DATE) = CAST(b.at AS DATE) AS day,
+      abs(a.total - b.total) AS apart, abs(a.total - b.total) <= greatest(abs(a.total), abs(b.total), 0.01) * 0.05 AS within, coalesce(a.card = b.card, false) AS f6,
+      coalesce(len(list_intersect(a.names, b.names)) / CAST(nullif(len(list_distinct(list_concat(a.names, b.names))), 0) AS DOUBLE), 0) AS alike
+    FROM sides a JOIN sides b ON a.pk < b.pk AND CAST(a.at AS DATE) = CAST(b.at AS DATE) AND (a.merchant = b.merchant OR a.id = b.id)),
+  flagged AS (SELECT *, f2 AND f3 AND alike >= 0.5 AS tied FROM pairs),
+  scored AS (SELECT left_pk, right_pk, left_id, left_at, alike,
+      CASE WHEN f1 THEN 45 ELSE 0 END + CASE WHEN f2 THEN 15 ELSE 0 END + CASE WHEN f3 THEN 15 WHEN day THEN 8 ELSE 0 END + CASE WHEN apart <= 0.01 THEN 20 WHEN within THEN 10 ELSE 0 END
+        + CASE WHEN f6 THEN 10 ELSE 0 END + CASE WHEN alike >= 0.9 THEN 25 WHEN alike >= 0.7 THEN 18 WHEN alike >= 0.5 THEN 10 ELSE 0 END AS score, tied,
+      concat_ws('|', CASE WHEN f1 THEN 'identifier_match' END, CASE WHEN f2 THEN 'merchant_match' END, CASE WHEN f3 THEN 'time_within_5m' WHEN day THEN 'same_day' END,
+        CASE WHEN apart <= 0.01 THEN 'total_exact' WHEN within THEN 'total_within_5pct' END, CASE WHEN f6 THEN 'card_match' END,
+        CASE WHEN alike >= 0.9 THEN 'items_near_exact' WHEN alike >= 0.7 THEN 'items_strong_overlap' WHEN alike >= 0.5 THEN 'items_partial_overlap' END,
+        CASE WHEN tied THEN 'merchant_time_item_correlation' END) AS reasons FROM flagged),
+  disposed AS (SELECT *, CASE WHEN score >= 90 THEN 'exact_duplicate' WHEN score >= 70 THEN 'probable_duplicate' WHEN score >= 50 OR tied THEN 'needs_review' ELSE 'distinct' END AS disposition FROM scored)"""
+
+
+def scored_pairs(s, d):
+    """Purchases of one day that share a merchant or an account, scored."""
+    items = bi.expense_items(s, d).groupBy("expense_pk").agg(F.collect_set("item_name").alias("items"))
+    e = bi.expenses(s, d).join(items, F.col("id") == F.col("expense_pk"), "left")
+    at = F.col("order_date").cast("timestamp") + F.make_dt_interval(mins=(F.col("id") % 11).cast("int"))
+    columns = {"pk": F.col("id"), "id": F.concat(F.col("account_id").cast("string"), F.lit("00000")), "order": F.col("order_id"), "merchant": F.col("store_name"), "at": at, "day": F.col("order_date"), "total": F.col("total"), "card": F.col("card_last4"), "items": F.coalesce("items", F.array().cast("array<string>"))}
+    a, b = (e.select(*[c.alias(f"{p}_{n}") for n, c in columns.items()]) for p in ("left", "right"))
+    keys = jo.any_of(e.select(F.col("id").alias("pk"), "order_date", "store_name", "account_id"), e.select(F.col("id").alias("pk"), "order_date", "store_name", "account_id"), [[("order_date", "order_date"), ("store_name", "store_name")], [("order_date", "order_date"), ("account_id", "account_id")]], "pk", "pk").where("left_id < right_id")
+    pairs = keys.select(F.col("left_id").alias("left_pk"), F.col("right_id").alias("right_pk")).join(a, "left_pk").join(b, "right_pk")
+    return de.duplicate_score(pairs)
+
+
+@query("i1_duplicate_score", f", {_SCORED} SELECT left_pk, right_pk, CAST(score AS INTEGER) AS score, disposition, reasons, round(alike, 4) AS item_similarity FROM disposed")
 def i1(s, d):
-    e = bi.expenses(s, d)
-    side = lambda p: e.select(F.col("id").alias(f"{p}_pk"), F.col("order_id").alias(f"{p}_id"), F.col("store_name").alias(f"{p}_merchant"), F.col("order_date").alias(f"{p}_at"), F.col("total").alias(f"{p}_total"), F.col("card_last4").alias(f"{p}_card"), F.array().cast("array<string>").alias(f"{p}_items"))
-    a, b = side("left"), side("right")
-    pairs = a.join(b, (F.col("left_merchant") == F.col("right_merchant")) & (F.col("left_at") == F.col("right_at"))).where("left_pk < right_pk")
-    return de.duplicate_score(pairs).select("left_pk", "right_pk", "score", "disposition")
+    return scored_pairs(s, d).select("left_pk", "right_pk", "score", "disposition", F.array_join("reasons", "|").alias("reasons"), "item_similarity")
 
 
 @query(
     "i10_reconcile",
-    f""", {_SUMS}, j AS (SELECT e.id, e.total, e.extraction_status, item_sum, categorized_sum FROM expenses e LEFT JOIN sums ON expense_pk = e.id),
-    c AS (SELECT id, extraction_status, CASE WHEN item_sum IS NULL OR total IS NULL THEN 'not_checkable' WHEN abs(item_sum - total) <= 0.01 THEN 'pass' ELSE 'fail' END AS item_status,
-      CASE WHEN categorized_sum IS NULL OR item_sum IS NULL THEN 'not_checkable' WHEN abs(categorized_sum - item_sum) <= 0.01 THEN 'pass' ELSE 'fail' END AS split_status, CAST(item_sum - total AS DECIMAL(24,2)) AS item_variance FROM j)
-    SELECT id, item_status, split_status, item_variance, item_status <> 'pass' OR split_status <> 'pass' OR extraction_status <> 'complete' AS requires_review FROM c""",
+    f""", {_SUMS}, missing AS (SELECT expense_pk, count(*) FILTER (WHERE line_total IS NULL AND category IS NOT NULL) AS gone FROM expense_items GROUP BY 1),
+    splits AS (SELECT expense_pk, sum(line_total) AS split_sum FROM expense_items WHERE category IS NOT NULL AND tax_code <> 'R' GROUP BY 1),
+    p AS (SELECT id, total, CASE WHEN id % 9 <> 0 THEN CAST(total - 12 AS DECIMAL(14,2)) END AS subtotal, CAST(10 + id % 2 AS DECIMAL(14,2)) AS taxes, CAST(2 AS DECIMAL(14,2)) AS fees, id % 4 <> 0 AS complete FROM expenses),
+    g AS (SELECT p.id, CAST(CASE WHEN s.lines IS NULL THEN 0 ELSE s.item_sum END - subtotal AS DECIMAL(24,2)) AS v1, CAST(CASE WHEN complete THEN total - (subtotal + taxes + fees) END AS DECIMAL(24,2)) AS v2,
+      CAST(coalesce(split_sum, 0) - CASE WHEN coalesce(m.gone, 0) = 0 THEN coalesce(s.categorized_sum, 0) END AS DECIMAL(24,2)) AS v3
+      FROM p LEFT JOIN sums s ON s.expense_pk = p.id LEFT JOIN missing m ON m.expense_pk = p.id LEFT JOIN splits t ON t.expense_pk = p.id)
+    SELECT id, CASE WHEN v1 IS NULL THEN 'not_checkable' WHEN abs(v1) <= 0.01 THEN 'pass' ELSE 'fail' END AS subtotal_status, v1 AS subtotal_variance,
+      CASE WHEN v2 IS NULL THEN 'not_checkable' WHEN abs(v2) <= 0.01 THEN 'pass' ELSE 'fail' END AS total_status, v2 AS total_variance,
+      CASE WHEN v3 IS NULL THEN 'not_checkable' WHEN abs(v3) <= 0.01 THEN 'pass' ELSE 'fail' END AS splits_status, v3 AS splits_variance FROM g""",
 )
 def i10(s, d):
-    return de.reconcile_purchase(bi.expenses(s, d), ag.reconciliation_sums(bi.expense_items(s, d)))
+    items = bi.expense_items(s, d)
+    m = "CAST({} AS DECIMAL(14,2)) AS {}"
+    p = bi.expenses(s, d).selectExpr("id", "total", "CASE WHEN id % 9 <> 0 THEN CAST(total - 12 AS DECIMAL(14,2)) END AS subtotal", m.format("10 + id % 2", "taxes"), m.format("2", "fees"), m.format("NULL", "tip"), m.format("NULL", "discounts"), "id % 4 <> 0 AS equation_complete")
+    splits = items.where("category is not null and tax_code <> 'R'").groupBy("expense_pk").agg(F.sum("line_total").alias("split_sum"))
+    return de.reconcile_purchase(p, ag.reconciliation_sums(items), splits)
 
 
 @query(
     "i11_required_fields",
-    """, v AS (SELECT id AS expense_pk, 'store_required' AS rule FROM expenses WHERE coalesce(trim(store_name) = '', true)
-      UNION ALL SELECT expense_pk, 'category_required' FROM expense_items WHERE category IS NULL),
+    """, i AS (SELECT expense_pk, CASE WHEN item_id % 101 = 0 THEN 0 ELSE item_id END AS item_id, CASE WHEN item_id % 97 = 0 THEN ' ' ELSE item_name END AS item_name,
+        CASE WHEN item_id % 89 = 0 THEN NULL ELSE line_total END AS line_total FROM expense_items WHERE qty >= 10),
+    v AS (SELECT id AS expense_pk, 'missing_store_name' AS rule FROM expenses WHERE store_name IS NULL
+      UNION ALL SELECT id, 'missing_transaction_date' FROM expenses WHERE id % 8 = 0 AND id % 16 <> 0
+      UNION ALL SELECT id, 'missing_items' FROM expenses WHERE id NOT IN (SELECT expense_pk FROM i)
+      UNION ALL SELECT expense_pk, 'invalid_item_id' FROM i WHERE item_id <= 0 UNION ALL SELECT expense_pk, 'item_missing_name' FROM i WHERE item_name = ' '
+      UNION ALL SELECT expense_pk, 'item_missing_line_total' FROM i WHERE line_total IS NULL),
     g AS (SELECT expense_pk, array_to_string(list(rule ORDER BY rule), '|') AS rules, count(*) AS violations FROM v GROUP BY 1)
     SELECT e.id, coalesce(g.rules, '') AS rules, coalesce(g.violations, 0) AS violations, CASE WHEN g.violations > 0 THEN 'fail' ELSE 'pass' END AS status FROM expenses e LEFT JOIN g ON g.expense_pk = e.id""",
 )
 def i11(s, d):
-    e = bi.expenses(s, d)
-    items = bi.expense_items(s, d)
-    known = items.join(e.select(F.col("id").alias("expense_pk")), "expense_pk", "left_semi")
-    return de.quality_status(e, de.required_fields(e, known)).withColumn("rules", F.array_join("rules", "|"))
+    e = bi.expenses(s, d).withColumns({"transaction_datetime": F.when(F.col("id") % 16 == 0, F.col("order_date").cast("timestamp")), "order_date": F.when(F.col("id") % 8 != 0, F.col("order_date"))})
+    items = bi.expense_items(s, d).where("qty >= 10").selectExpr("expense_pk", "CASE WHEN item_id % 101 = 0 THEN 0 ELSE item_id END AS item_id", "CASE WHEN item_id % 97 = 0 THEN ' ' ELSE item_name END AS item_name", "CASE WHEN item_id % 89 = 0 THEN NULL ELSE line_total END AS line_total")
+    return de.quality_status(e, de.required_fields(e, items)).withColumn("rules", F.array_join("rules", "|"))
 
 
 @query(
