@@ -75,3 +75,29 @@ def retailer_domain(merchant: Column, domains: dict[str, str]) -> Column:
 def confidence(fields: Sequence[tuple[Column, str]]) -> Column:
     """The weights of the fields that are there."""
     return sum((F.when(c.isNotNull(), F.lit(w).cast("decimal(5,4)")).otherwise(F.lit("0").cast("decimal(5,4)")) for c, w in fields), F.lit("0").cast("decimal(5,4)"))
+
+
+def file_extension(path: Column) -> Column:
+    """What follows the last dot of a file's name, in lower case."""
+    found = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    return F.when(found == "", "(none)").otherwise(F.lower(found))
+
+
+def filename_metadata(path: Column) -> Column:
+    """Date, merchant and total of a name like date_merchant_dollars_cents; all null unless it is one with a real date."""
+    pattern = r"(?:^|/)(\d{8})[_-]([^/]+)[_-](\d+)[_-](\d{2})(?:\.[^./]*)?$"
+    part = lambda i: F.regexp_extract(path, pattern, i)
+    date = F.try_to_timestamp(F.nullif(part(1), F.lit("")), F.lit("yyyyMMdd")).cast("date")
+    known = date.isNotNull()
+    merchant = F.when(known, squeeze(F.translate(part(2), "_-", "  ")))
+    return F.struct(date.alias("date"), merchant.alias("merchant"), F.when(known, F.concat(part(3), F.lit("."), part(4)).try_cast("decimal(14,2)")).alias("total"))
+
+
+def valid_month(c: Column) -> Column:
+    """Yyyy-mm with a month from 01 to 12."""
+    return F.coalesce(c.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.lit(False))
+
+
+def has_text(c: Column) -> Column:
+    """Anything but white space."""
+    return F.coalesce(c.rlike(r"\S"), F.lit(False))

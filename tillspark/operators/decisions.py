@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
 from .aggregates import best_and_margin
 from .relational import unique_or_null
 
@@ -203,3 +204,18 @@ def enrich(df: DataFrame, found: DataFrame, key: str, columns: list[str]) -> Dat
 def value_if_agreed(observations: DataFrame, keys: list[str], value: str) -> DataFrame:
     """D21 over a table: one row a key, null where the observations differ."""
     return observations.groupBy(*keys).agg(unique_or_null(F.col(value)).alias(value), F.count(F.lit(1)).alias("observations"))
+
+
+def canonical_category(df: DataFrame, asked: str, categories: DataFrame, aliases: DataFrame) -> DataFrame:
+    """H5: the category that a text names, as written, but for case and punctuation, or by an alias; null if none.
+
+    categories: category; aliases: alias (normalised), category. Distinct texts are looked up.
+    """
+    norm = lambda c: normalize(F.col(c))
+    exact = categories.select(F.trim("category").alias("_x"), F.col("category").alias("_exact"))
+    loose = categories.groupBy(norm("category").alias("_n")).agg(F.min("category").alias("_loose"))
+    known = aliases.select(F.col("alias").alias("_l"), F.col("category").alias("_alias"))
+    texts = df.select(F.col(asked).alias("_asked")).distinct()
+    found = texts.join(exact, F.trim("_asked") == F.col("_x"), "left").join(loose, norm("_asked") == F.col("_n"), "left").join(known, norm("_asked") == F.col("_l"), "left")
+    found = found.select("_asked", F.coalesce("_exact", "_loose", "_alias").alias("category"))
+    return df.join(found, F.col(asked).eqNullSafe(F.col("_asked")), "left").drop("_asked")

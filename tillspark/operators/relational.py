@@ -101,6 +101,13 @@ def union_missing(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return first.unionByName(second.join(first.select(key), key, "left_anti").select(*first.columns))
 
 
+def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one side has more often than the other: side, n and the columns. One aggregation, no sort of whole tables."""
+    sided = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    counts = sided.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return counts.select(F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), F.abs("_n").alias("n"), *a.columns)
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equality as multisets."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return row_differences(a, b).isEmpty()

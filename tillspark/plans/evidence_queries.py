@@ -19,11 +19,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, queries: dict = QUERIES, oracles: dict = ORACLES):
     def register(f):
-        QUERIES[name] = f
+        queries[name] = f
         if sql is not None:
-            ORACLES[name] = f"{bi.ALL_SQL}\n{sql}"
+            oracles[name] = f"{bi.ALL_SQL}\n{sql}"
         return f
 
     return register

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, relational_queries, stateful_queries
+from . import evidence_queries, page_queries, relational_queries, stateful_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (relational_queries, stateful_queries, evidence_queries):
+for _module in (relational_queries, stateful_queries, evidence_queries, page_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

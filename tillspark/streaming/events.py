@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -61,6 +61,44 @@ def alerts(df: DataFrame, at: str = "ts", size: str = "1 hour", failure_ratio: f
     return out.where((F.col("n") >= least) & (F.col("failures") > failure_ratio * F.col("n"))).select(F.col("w.start").alias("window_start"), "n", "failures")
 
 
+def window_quantiles(df: DataFrame, at: str = "ts", value: str = "value", size: str = "1 hour") -> DataFrame:
+    """Median, 95th percentile, count, mean and maximum of each window, exact."""
+    out = df.groupBy(F.window(at, size).alias("w")).agg(
+        F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most")
+    )
+    return out.select(F.col("w.start").alias("window_start"), "p50", "p95", "n", "mean", "most")
+
+
+def alert_rules(df: DataFrame, failed, review, queued, done, seconds, at: str = "ts", size: str = "1 hour", failure_ratio: float = 0.25, review_ratio: float = 0.5, latency: float = 60.0, growth: int = 0, least: int = 5) -> DataFrame:
+    """One row for each window and alert that it raises; :func:`absent_windows` gives those with nothing in them."""
+    w = df.groupBy(F.window(at, size).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures"), F.count_if(review).alias("reviews"), F.count_if(queued).alias("queued"), F.count_if(done).alias("done"), F.percentile(seconds, 0.95).alias("p95")
+    )
+    enough = F.col("n") >= least
+    raised = {
+        "failure_ratio": enough & (F.col("failures") > failure_ratio * F.col("n")),
+        "review_ratio": enough & (F.col("reviews") > review_ratio * F.col("n")),
+        "latency_p95": F.col("p95") > latency,
+        "queue_growing": F.col("queued") > F.col("done") + growth,
+        "dead_lettered": F.col("failures") > 0,
+    }
+    names = F.array_compact(F.array(*[F.when(rule, name) for name, rule in raised.items()]))
+    return w.select(F.col("w.start").alias("window_start"), F.explode(names).alias("alert"))
+
+
+def correlate(log: DataFrame) -> DataFrame:
+    """Worker log lines (at, id, host, reference, request, status) in the order of time, late ones too.
+
+    A line with a request tells what a host does with a reference: active on it, or no longer.
+    A heartbeat names no request; it counts for the one that its host is active on.
+    """
+    mark = F.when(F.col("request").isNotNull(), F.struct(F.when(F.col("status") == "active", F.col("request")).alias("r")))
+    order = Window.partitionBy("host", "reference").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.withColumn("_active", F.last(mark, ignorenulls=True).over(order)["r"])
+    known = F.coalesce("request", "_active")
+    return seen.withColumn("request", known).where("request is not null").drop("_active")
+
+
 def absent_windows(df: DataFrame, first: str, last: str, at: str = "ts", size: str = "1 hour") -> DataFrame:
     """Windows between two instants in which nothing was seen."""
     spark = df.sparkSession
