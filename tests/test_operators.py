@@ -43,10 +43,10 @@ def test_penny_allocation_is_exact_and_survives_zero_and_refunds(spark):
 
 def test_duplicate_scores(spark):
     at = datetime.datetime(2026, 8, 10, 14, 30)
-    items = ["1% milk|1", "blueberries|1", "eggs|1"]
+    items = ["rye bread|2", "pears|1", "salt|1"]
     rows = [
-        (1, "COSTCO-123", "costco123", "Costco", "Costco", at, at, D("295.47"), D("295.47"), "1234", "1234", items, items),
-        (2, "A1", "B2", "Costco", "costco", at, at + datetime.timedelta(seconds=300), D("100.00"), D("104.99"), None, "1", items, items[:2]),
+        (1, "Till 88/4", "TILL884", "Corner Shop", "corner-shop", at, at, D("61.05"), D("61.05"), "9001", "9001", items, items),
+        (2, "A1", "B2", "Bakery", "BAKERY", at, at + datetime.timedelta(seconds=300), D("100.00"), D("104.99"), None, "1", items, items[:2]),
         (3, None, None, "X", "Y", at, at + datetime.timedelta(seconds=301), D("1.00"), D("1.02"), "1", "2", [], []),
     ]
     names = "id int, left_id string, right_id string, left_merchant string, right_merchant string, left_at timestamp, right_at timestamp, left_total decimal(12,2), right_total decimal(12,2), left_card string, right_card string, left_items array<string>, right_items array<string>"

@@ -92,9 +92,10 @@ def one_to_one(edges: dict[int, list[int]]) -> dict[int, int]:
     return {left: right for right, left in sorted(taken.items(), key=lambda x: x[1])}
 
 
-def match_transactions(candidates: DataFrame) -> DataFrame:
-    """The purchase that a bank row stands for.
+def match_transactions(candidates: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
+    """The purchase that a bank row stands for; ``best`` only where it is matched.
 
+    With ``transactions`` (transaction_id) those without any candidate come out as unmatched, too.
     candidates: transaction_id, expense_id, days (apart), merchant_text, store_name, card and
     account (booleans, null is unknown), identifier (boolean); amounts are equal already. Text
     ratios are computed once for each distinct pair of names.
@@ -115,7 +116,10 @@ def match_transactions(candidates: DataFrame) -> DataFrame:
     best = best_and_margin(scored.withColumn("score", score), "transaction_id", "expense_id", "score")
     has_rival = F.col("margin") <= 10
     outcome = F.when(F.col("best_score") < 80, "unmatched").when(has_rival & (F.col("margin") < F.col("best_score")), "ambiguous").otherwise("matched")
-    return best.withColumn("outcome", outcome)
+    out = best.withColumn("outcome", outcome).withColumn("best", F.when(F.col("outcome") == "matched", F.col("best")))
+    if transactions is not None:
+        out = transactions.select("transaction_id").join(out, "transaction_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unmatched")))
+    return out
 
 
 def _affine_ratios(pieces: pd.Series, keywords: pd.Series, least: float) -> pd.Series:
@@ -159,21 +163,22 @@ def fuzzy_keyword(items: DataFrame, keywords: DataFrame, text: str, threshold: f
     return best.select(text, F.col("best").alias("category"), F.col("best_score").alias("confidence"))
 
 
-def categorize(items: DataFrame, learned: DataFrame, rules: DataFrame, keywords: DataFrame, text: str = "item_name") -> DataFrame:
-    """Learned mapping, rule, keyword and fuzzy keyword in this order; else unresolved, never a default.
+def categorize(items: DataFrame, learned: DataFrame, rules: DataFrame, keywords: DataFrame, text: str = "item_name", verified: DataFrame | None = None) -> DataFrame:
+    """Verified override, rule, learned mapping, keyword and fuzzy keyword in this order; else unresolved, never a default.
 
-    Works on distinct names and joins the decisions back.
+    verified and learned: description, category. Works on distinct names and joins the decisions back.
     """
     names = items.select(text).distinct().withColumn("norm", normalize(text))
     learned = learned.groupBy(normalize("description").alias("norm")).agg(F.min("category").alias("learned"))
-    ruled = rule_join(names.join(learned, "norm", "left"), rules, "norm")
+    sure = learned.select("norm", F.lit(None).cast("string").alias("verified")).limit(0) if verified is None else verified.groupBy(normalize("description").alias("norm")).agg(F.min("category").alias("verified"))
+    ruled = rule_join(names.join(learned, "norm", "left").join(sure, "norm", "left"), rules, "norm")
     plain = F.broadcast(keywords.select("keyword", F.col("category").alias("kw_category"), "position"))
     hits = names.join(plain, F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "keyword", F.lit(" ")))).groupBy("norm").agg(F.min_by("kw_category", F.struct("position", "keyword")).alias("kw"))
     near = fuzzy_keyword(names.withColumnRenamed(text, "_raw"), keywords, "norm").select("norm", F.col("category").alias("near"))
     out = ruled.join(hits, "norm", "left").join(near, "norm", "left")
-    decided = F.coalesce("learned", "rule_category", "kw", "near")
-    how = F.when(F.col("norm") == "", "unresolved").when(F.col("learned").isNotNull(), "learned_mapping").when(F.col("rule_category").isNotNull(), "runtime_rule").when(F.col("kw").isNotNull(), "rule").when(F.col("near").isNotNull(), "fuzzy_rule").otherwise("unresolved")
-    confidence = F.when(how.isin("learned_mapping", "runtime_rule"), 1.0).when(how == "rule", 0.95).when(how == "fuzzy_rule", 0.80)
+    decided = F.coalesce("verified", "rule_category", "learned", "kw", "near")
+    how = F.when(F.col("norm") == "", "unresolved").when(F.col("verified").isNotNull(), "verified_override").when(F.col("rule_category").isNotNull(), "runtime_rule").when(F.col("learned").isNotNull(), "learned_mapping").when(F.col("kw").isNotNull(), "rule").when(F.col("near").isNotNull(), "fuzzy_rule").otherwise("unresolved")
+    confidence = F.when(how.isin("verified_override", "learned_mapping", "runtime_rule"), 1.0).when(how == "rule", 0.95).when(how == "fuzzy_rule", 0.80)
     decisions = out.select(F.col(text).alias("_name"), F.when(how != "unresolved", decided).alias("decided"), how.alias("provenance"), confidence.alias("confidence"))
     return items.join(decisions, F.col(text).eqNullSafe(F.col("_name")), "left").drop("_name")
 

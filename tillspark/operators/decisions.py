@@ -69,14 +69,14 @@ def evidence_match(pairs: DataFrame, key: str, candidate: str) -> DataFrame:
     """I4: the best candidate of each key by weighted agreement, in decimals.
 
     pairs: same_id, same_total, same_merchant, same_card (booleans, null is no), seconds_apart
-    and same_day. Matched from 0.80 with a lead of 0.10, ambiguous from 0.45, else unmatched.
+    and same_day. Matched from 0.80 with a lead of 0.10, ambiguous from 0.45, else new.
     """
     d = lambda v: F.lit(v).cast("decimal(4,2)")
     part = lambda flag, v: F.when(F.col(flag), d(v)).otherwise(d("0"))
     time = F.when(F.col("seconds_apart") <= 120, d("0.20")).when(F.col("same_day"), d("0.05")).otherwise(d("0"))
     score = part("same_id", "0.30") + part("same_total", "0.25") + part("same_merchant", "0.15") + part("same_card", "0.10") + time
     best = best_and_margin(pairs.withColumn("_score", score.cast("decimal(6,2)")), key, candidate, "_score")
-    outcome = F.when((F.col("best_score") >= d("0.80")) & (F.col("margin") >= d("0.10")), "matched").when(F.col("best_score") >= d("0.45"), "ambiguous").otherwise("unmatched")
+    outcome = F.when((F.col("best_score") >= d("0.80")) & (F.col("margin") >= d("0.10")), "matched").when(F.col("best_score") >= d("0.45"), "ambiguous").otherwise("new")
     return best.withColumn("outcome", outcome).withColumn("matched", F.when(F.col("outcome") == "matched", F.col("best")))
 
 

@@ -131,18 +131,6 @@ def interleave(df: DataFrame, group: str, order: Sequence[Column], text: str, bu
     return small.repartition(1).sortWithinPartitions("_n", group, text).mapInPandas(fit, small.schema).drop("_n", "_size")
 
 
-def interleave_until_full(df: DataFrame, group: str, order: Sequence[Column], text: str, budget: int) -> DataFrame:
-    """E9 as its first SQL twin has it: like :func:`interleave`, but the first text that does not fit ends the result.
-
-    The running length looks only at rows that may still fit: no group gives more than the budget holds.
-    """
-    one = first_by(df, [text], [F.col(group), *order])
-    ranked = one.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= budget)
-    turn = Window.orderBy("_n", group, text).rowsBetween(Window.unboundedPreceding, 0)
-    small = ranked.orderBy("_n", group, text).limit(budget)
-    return small.withColumn("_used", F.sum(F.length(text)).over(turn)).where(F.col("_used") <= budget).drop("_used", "_n")
-
-
 def indent_levels(lines: DataFrame, page: str, x: str, width: str, least: float) -> DataFrame:
     """Levels of indentation: a gap of ``least`` page widths to the next smaller indent opens a level."""
     order = Window.partitionBy(page).orderBy(x)

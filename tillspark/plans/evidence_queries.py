@@ -101,18 +101,6 @@ def c17(s, d):
 
 @query(
     "c24_blocking_rows",
-    """, a AS (SELECT item_name, tax_code, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 50 = 0),
-    b AS (SELECT item_name, tax_code, item_id, expense_pk, category_source = 'manual' AS r, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY category_source = 'manual' DESC, item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 20 = 1)
-    SELECT expense_pk, item_id FROM b WHERE r AND NOT EXISTS (SELECT 1 FROM a WHERE a.item_name = b.item_name AND a.tax_code = b.tax_code AND a.n = b.n)""",
-)
-def c24(s, d):
-    i = bi.expense_items(s, d).select("item_name", "tax_code", "item_id", "expense_pk", "category_source")
-    out = evd.reviewed_without_partner(i.where("expense_pk % 50 = 0"), i.where("expense_pk % 20 = 1"), ["item_name", "tax_code"], [F.col("item_id"), F.col("expense_pk")], F.col("category_source") == "manual")
-    return out.select("expense_pk", "item_id")
-
-
-@query(
-    "c24_blocking_rows_whole",
     """, a AS (SELECT item_name, tax_code, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 2 = 0),
     b AS (SELECT item_name, tax_code, item_id, expense_pk, category_source = 'manual' AS r, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY category_source = 'manual' DESC, item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 2 <> 0)
     SELECT expense_pk, item_id FROM b WHERE r AND NOT EXISTS (SELECT 1 FROM a WHERE a.item_name = b.item_name AND a.tax_code = b.tax_code AND a.n = b.n)""",
@@ -191,17 +179,7 @@ def e5(s, d):
     return evd.with_total_count(rows, 20, [F.col("total").desc(), F.col("id")])
 
 
-@query(
-    "e9_interleave",
-    """, o AS (SELECT item_name, min(tax_code) AS tax_code FROM expense_items GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY tax_code ORDER BY item_name) AS n FROM o),
-    u AS (SELECT *, sum(length(item_name)) OVER (ORDER BY n, tax_code, item_name ROWS UNBOUNDED PRECEDING) AS used FROM r) SELECT item_name, tax_code FROM u WHERE used <= 200""",
-)
-def e9(s, d):
-    i = bi.expense_items(s, d).select("item_name", "tax_code").distinct()
-    return evd.interleave_until_full(i, "tax_code", [F.col("item_name")], "item_name", 200)
-
-
-@query("e9_interleave_whole")
+@query("e9_interleave")
 def e9_whole(s, d):
     """Texts that do not fit are skipped, which a running sum in SQL does not say."""
     i = bi.expense_items(s, d).select("item_name", "tax_code").distinct()

@@ -275,22 +275,6 @@ def c22(s, d):
 
 @query(
     "c23_multiset_join",
-    """, a AS (SELECT item_name, tax_code, item_id, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 50 = 0),
-    b AS (SELECT item_name, tax_code, item_id, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 50 = 1)
-    SELECT coalesce(a.item_name, b.item_name) AS item_name, coalesce(a.tax_code, b.tax_code) AS tax_code, coalesce(a.n, b.n) AS occurrence, a.item_id AS new_id, b.item_id AS old_id,
-      CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN 'match' WHEN a.n IS NOT NULL THEN 'insert' ELSE 'delete' END AS action
-    FROM a FULL JOIN b ON a.item_name = b.item_name AND a.tax_code = b.tax_code AND a.n = b.n""",
-)
-def c23(s, d):
-    i = bi.expense_items(s, d).select("expense_pk", "item_name", "tax_code", "item_id")
-    new = i.where("expense_pk % 50 = 0").select("item_name", "tax_code", F.col("item_id").alias("new_id"), F.col("expense_pk").alias("new_pk"))
-    old = i.where("expense_pk % 50 = 1").select("item_name", "tax_code", F.col("item_id").alias("old_id"), F.col("expense_pk").alias("old_pk"))
-    out = jo.multiset_join(new, old, ["item_name", "tax_code"], [F.col("new_id"), F.col("new_pk")], [F.col("old_id"), F.col("old_pk")])
-    return out.select("item_name", "tax_code", F.col("occurrence").cast("long").alias("occurrence"), "new_id", "old_id", "action")
-
-
-@query(
-    "c23_multiset_join_whole",
     """, a AS (SELECT item_name, tax_code, item_id, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 2 = 0),
     b AS (SELECT item_name, tax_code, item_id, row_number() OVER (PARTITION BY item_name, tax_code ORDER BY item_id, expense_pk) AS n FROM expense_items WHERE expense_pk % 2 <> 0)
     SELECT coalesce(a.item_name, b.item_name) AS item_name, coalesce(a.tax_code, b.tax_code) AS tax_code, coalesce(a.n, b.n) AS occurrence, a.item_id AS new_id, b.item_id AS old_id,

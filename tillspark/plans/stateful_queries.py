@@ -74,17 +74,6 @@ def l4(s, d):
 
 @query(
     "l7_next_state",
-    """, f AS (SELECT request_id, count(*) FILTER (WHERE status = 'active') AS starts, arg_max(status, struct_pack(a := occurred_at, b := id)) AS status, max(occurred_at) AS at FROM receipt_events WHERE id % 2 = 0 GROUP BY 1)
-    SELECT c.c_custkey AS request_id, coalesce(f.status, 'queued') AS status, CAST(1 + coalesce(f.starts, 0) AS BIGINT) AS attempts, f.at AS updated_at FROM customer c LEFT JOIN f ON f.request_id = c.c_custkey WHERE c.c_custkey < 400
-    UNION ALL SELECT f.request_id, f.status, CAST(f.starts AS BIGINT), f.at FROM f WHERE f.request_id >= 400 OR f.request_id NOT IN (SELECT c_custkey FROM customer)""",
-)
-def l7(s, d):
-    states = bi.read(s, d, "customer").where("c_custkey < 400").selectExpr("c_custkey AS request_id", "'queued' AS status", "1L AS attempts", "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at")
-    return st.next_state(states, bi.receipt_events(s, d).where("id % 2 = 0"), "request_id")
-
-
-@query(
-    "l7_next_state_whole",
     """, f AS (SELECT request_id, count(*) FILTER (WHERE status = 'active') AS starts, arg_max(status, struct_pack(a := occurred_at, b := id)) AS status, max(occurred_at) AS at FROM receipt_events GROUP BY 1)
     SELECT coalesce(c.c_custkey, f.request_id) AS request_id, coalesce(f.status, 'queued') AS status,
       CAST(CASE WHEN c.c_custkey IS NULL THEN 0 ELSE 1 END + coalesce(f.starts, 0) AS BIGINT) AS attempts, f.at AS updated_at FROM customer c FULL JOIN f ON f.request_id = c.c_custkey""",
@@ -134,7 +123,8 @@ def i3(s, d):
             (F.col("card_last4") == F.col("r_card_last4")).alias("card"),
             (F.col("account_id") == F.col("r_account_id")).alias("account"),
             F.lit(False).alias("identifier"),
-        )
+        ),
+        t.select(F.col("id").alias("transaction_id")),
     )
 
 

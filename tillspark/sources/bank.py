@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import any_date, redact
+
 ROW = "reference string, line int, posted date, description string, amount decimal(14,2), card_last4 string, error string"
 _AMOUNT = re.compile(r"^-?\$?\d[\d,]*(?:\.\d{1,2})?$")
 _LONG_ID = re.compile(r"(?<!\d)\d{4,}(\d{4})(?!\d)")
@@ -94,6 +96,24 @@ def read_exports(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     return files.mapInPandas(rows, ROW)
 
 
+def read_by_fields(spark: SparkSession, path: str, fields: dict[str, str], sign: int = 1, currency: str = "CAD") -> DataFrame:
+    """A5: rows of headered exports by a map from our names (date, description, amount or debit and
+    credit, card) to theirs; ``sign`` turns amounts so that money spent is positive. Bad rows say why."""
+    raw = spark.read.option("header", "true").option("recursiveFileLookup", "true").csv(path)
+    if missing := sorted(set(fields.values()) - set(raw.columns)):
+        raise ValueError(f"columns are missing: {missing}")
+    value = lambda name: F.trim(F.col(f"`{fields[name]}`")) if name in fields else F.lit(None).cast("string")
+    number = lambda c: F.when(c.rlike(_AMOUNT.pattern), F.regexp_replace(c, r"[$,]", "").try_cast("decimal(14,2)"))
+    debit, credit = number(value("debit")), number(value("credit"))
+    amount = F.lit(sign) * number(value("amount")) if "amount" in fields else F.when(debit.isNotNull() != credit.isNotNull(), F.coalesce(debit, -credit))
+    posted = any_date(value("date"))
+    error = F.when(posted.isNull(), "date").when(amount.isNull(), "amount").when(F.coalesce(value("description"), F.lit("")) == "", "description")
+    return raw.select(
+        F.col("_metadata.file_path").alias("reference"), posted.alias("posted"), redact(value("description")).alias("description"), amount.cast("decimal(14,2)").alias("amount"),
+        F.lit(currency).alias("currency"), F.nullif(F.right(F.regexp_replace(value("card"), r"\D", ""), F.lit(4)), F.lit("")).alias("card_last4"), error.alias("error"),
+    )
+
+
 def with_fingerprints(rows: DataFrame, account: str) -> DataFrame:
     """Equal rows of an export get ordinals, so overlapping exports agree on identities."""
     same = ["posted", "description", "amount", "card_last4"]

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the session names it; else a local folder, for tests."""
+    """``spark.checkpoint.dir`` where the session names it; else a local folder, for tests in a local session only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tillspark-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -67,3 +70,30 @@ def discover(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     reference = F.regexp_replace("path", f"^(?:[a-z]+:/*)?/?{root.split('://')[-1].strip('/')}/", "")
     return files.select(reference.alias("reference"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256"))
+
+
+def export(df: DataFrame, path: str, form: str = "json") -> None:
+    """A table as JSON lines or as CSV with a header, one folder of part files; nulls keep their fields in JSON."""
+    if form == "json":
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    elif form == "csv":
+        df.write.mode("overwrite").option("header", "true").option("quoteAll", "true").csv(path)
+    else:
+        raise ValueError(f"cannot export as {form}")
+
+
+def rows_one_by_one(df: DataFrame, column: str) -> Iterator[str]:
+    """The values of a column of large texts, a partition at a time on the driver, the next one fetched meanwhile."""
+    return (row[0] for row in df.select(column).toLocalIterator(prefetchPartitions=True))
+
+
+def settled(seen: DataFrame, found: DataFrame, now: Column, settle_seconds: int = 60) -> DataFrame:
+    """A10: files to read now: still for ``settle_seconds``, and new, changed, or due for another try.
+
+    found: reference, bytes, modified_at, sha256; seen: the same with attempts, failed and not_before.
+    """
+    old = seen.select("reference", *[F.col(c).alias(f"_{c}") for c in ("bytes", "sha256", "failed", "not_before")])
+    still = found.where(F.unix_timestamp("modified_at") + settle_seconds <= F.unix_timestamp(now))
+    same = (F.col("bytes") == F.col("_bytes")) & (F.col("sha256") == F.col("_sha256"))
+    due = F.coalesce(F.col("_failed") & (F.col("_not_before") <= now), F.lit(False))
+    return still.join(old, "reference", "left").where(~F.coalesce(same, F.lit(False)) | due).select(*found.columns)
