@@ -45,3 +45,12 @@ def test_cascade_order(spark):
     keywords = spark.createDataFrame([("bolt", "Keyword", 1)], "keyword string, category string, position int")
     out = fuzzy.categorize(items, spark.createDataFrame([("red ring", "Learned"), ("blue bolt", "Learned")], two), rules, keywords, verified=spark.createDataFrame([("ring", "Sure")], two))
     assert {r["item_name"]: (r["decided"], r["provenance"]) for r in out.collect()} == {"Blue Bolt": ("Learned", "learned_mapping"), "Red Ring": ("Ruled", "runtime_rule"), "Ring!": ("Sure", "verified_override"), "": (None, "unresolved"), "quux": (None, "unresolved")}
+
+
+def test_older_cascade_always_decides(spark):
+    items = spark.createDataFrame([("Crest paste",), ("Protein Bars",), ("Red Ring",), ("Bolt",), ("quux",), ("gold",)], "item_name string")
+    rules = spark.createDataFrame([(1, "contains", "ring", None, None, "Ruled", 1, 1)], "rule_id int, match_type string, match_text string, source string, merchant string, category string, priority int, position int")
+    keywords = spark.createDataFrame([("bolt", "Keyword", 1)], "keyword string, category string, position int")
+    verified = spark.createDataFrame([("gold", "Sure")], "description string, category string")
+    out = {r["item_name"]: (r["decided"], r["provenance"]) for r in fuzzy.legacy_category(items, verified, rules, keywords).collect()}
+    assert out == {"Crest paste": ("Indoor Supplies", "exact"), "Protein Bars": ("Groceries", "exact"), "Red Ring": ("Ruled", "mapping_rule"), "Bolt": ("Keyword", "exact"), "quux": ("Groceries", "default"), "gold": ("Sure", "verified_cache")}

@@ -183,6 +183,26 @@ def categorize(items: DataFrame, learned: DataFrame, rules: DataFrame, keywords:
     return items.join(decisions, F.col(text).eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
+# Names that the older rules decide by themselves, and their default.
+LEGACY_EXACT = (("protein bar", "Groceries"), ("enviro fee", "Groceries"), ("crest", "Indoor Supplies"))
+LEGACY_DEFAULT = "Groceries"
+
+
+def legacy_category(items: DataFrame, verified: DataFrame, rules: DataFrame, keywords: DataFrame, text: str = "item_name") -> DataFrame:
+    """The older cascade, which always gives a category: verified, fixed names, rule, keyword, fuzzy keyword, default."""
+    none = verified.limit(0)
+    out = categorize(items, none, rules, keywords, text, verified)
+    fixed, lower = F.lit(None).cast("string"), F.lower(F.col(text))
+    for piece, category in reversed(LEGACY_EXACT):
+        fixed = F.when(F.contains(lower, F.lit(piece)), category).otherwise(fixed)
+    sure = F.col("provenance") == "verified_override"
+    names = {"verified_override": "verified_cache", "runtime_rule": "mapping_rule", "rule": "exact", "fuzzy_rule": "fuzzy"}
+    how = F.lit("default")
+    for ours, theirs in names.items():
+        how = F.when(F.col("provenance") == ours, theirs).otherwise(how)
+    return out.withColumns({"decided": F.when(sure, F.col("decided")).otherwise(F.coalesce(fixed, "decided", F.lit(LEGACY_DEFAULT))), "provenance": F.when(~sure & fixed.isNotNull(), "exact").otherwise(how)}).drop("confidence")
+
+
 def ordered_matches(groups: DataFrame, key: str, left: str, right: str, least: float = 0.6) -> DataFrame:
     """C20 over a table: for each group's two arrays of lines, the sure pairs of positions."""
 

@@ -101,3 +101,19 @@ def valid_month(c: Column) -> Column:
 def has_text(c: Column) -> Column:
     """Anything but white space."""
     return F.coalesce(c.rlike(r"\S"), F.lit(False))
+
+
+def product_label(title: Column, url: Column, retailers: dict[str, str]) -> Column:
+    """A page title without leading shopping words, and without the retailer's own name after the last bar.
+
+    retailers: name (lower case) to domain; a name counts only on pages of its domain. A suffix
+    that is the page's host counts, too.
+    """
+    plain = F.trim(F.regexp_replace(F.trim(F.coalesce(title, F.lit(""))), r"(?i)^((buy|shop|purchase|order)(\s+now)?\s+)+", ""))
+    host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    head, suffix = F.regexp_extract(plain, r"^(?s)(.*)\|([^|]*)$", 1), F.regexp_extract(plain, r"^(?s)(.*)\|([^|]*)$", 2)
+    name = F.regexp_replace(normalize(suffix), r"\s+(inc|ltd|limited|incorporated|corporation|corp)$", "")
+    own = (F.lower(F.trim(suffix)) == F.regexp_replace(host, r"^www\.", "")) & (host != "")
+    for retailer, domain in retailers.items():
+        own = own | ((name == retailer) & ((host == domain) | F.endswith(host, F.lit("." + domain))))
+    return F.when(F.contains(plain, F.lit("|")) & own, F.trim(head)).otherwise(plain)

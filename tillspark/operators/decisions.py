@@ -219,3 +219,23 @@ def canonical_category(df: DataFrame, asked: str, categories: DataFrame, aliases
     found = texts.join(exact, F.trim("_asked") == F.col("_x"), "left").join(loose, norm("_asked") == F.col("_n"), "left").join(known, norm("_asked") == F.col("_l"), "left")
     found = found.select("_asked", F.coalesce("_exact", "_loose", "_alias").alias("category"))
     return df.join(found, F.col(asked).eqNullSafe(F.col("_asked")), "left").drop("_asked")
+
+
+def derived_quantities(items: DataFrame) -> DataFrame:
+    """Number of units, weight and refund prices of order lines.
+
+    items: name, quantity (text), weight_unit, weight_qty, unit_price, total_price and
+    original_total_price (doubles, null if unknown). Adds unit_qty (not for weighed lines: the
+    number in the quantity, else total by unit price, whole if within 0.02), weight, and for lines
+    named as refunded a negative line_total, of the price before discounts if known, with unit_value.
+    """
+    by_price = F.when(F.col("unit_price") > 0, F.col("total_price") / F.col("unit_price"))
+    written = F.nullif(F.regexp_extract(F.coalesce("quantity", F.lit("")), r"\d+(\.\d+)?", 0), F.lit("")).cast("double")
+    weighed = F.coalesce("weight_unit", F.lit("")) != ""
+    whole = F.when(F.abs(by_price - F.round(by_price)) < 0.02, F.round(by_price)).otherwise(F.round(by_price, 3))
+    units = F.when(~weighed, F.coalesce(written, F.when(by_price > 0, whole)))
+    weight = F.when(F.col("weight_qty") > 0, F.round("weight_qty", 3)).when(weighed, F.round(by_price, 3))
+    count = F.when(F.coalesce("quantity", F.lit("")).rlike(r"^\d+$") & (F.col("quantity").try_cast("int") > 0), F.col("quantity").try_cast("int")).otherwise(1)
+    refund = F.when(F.col("original_total_price") > 0, -F.col("original_total_price")).when(F.col("total_price") != 0, -F.abs("total_price")).when(F.col("unit_price") != 0, -F.abs("unit_price") * count)
+    refunded = F.coalesce(F.col("name").rlike(r"(?i)\brefunded\b"), F.lit(False)) & refund.isNotNull()
+    return items.withColumns({"unit_qty": units, "weight": weight, "line_total": F.when(refunded, refund).otherwise(F.col("total_price")), "unit_value": F.when(refunded, refund / count).otherwise(F.col("unit_price"))})

@@ -179,9 +179,16 @@ def e5(s, d):
     return evd.with_total_count(rows, 20, [F.col("total").desc(), F.col("id")])
 
 
-@query("e9_interleave")
-def e9_whole(s, d):
-    """Texts that do not fit are skipped, which a running sum in SQL does not say."""
+@query(
+    "e9_interleave",
+    """, one AS (SELECT item_name, min(tax_code) AS tax_code FROM expense_items GROUP BY 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY tax_code ORDER BY item_name) AS n FROM one),
+    turn AS (SELECT item_name, tax_code, length(item_name) AS size, row_number() OVER (ORDER BY n, tax_code, item_name) AS t FROM ranked),
+    folded AS (SELECT list_reduce(list_prepend(struct_pack(used := 0::BIGINT, kept := []::BIGINT[], size := 0::BIGINT, t := 0::BIGINT), list(struct_pack(used := 0::BIGINT, kept := []::BIGINT[], size := size, t := t) ORDER BY t)),
+      lambda a, b: CASE WHEN a.used + b.size <= 200 THEN struct_pack(used := a.used + b.size, kept := list_append(a.kept, b.t), size := 0::BIGINT, t := 0::BIGINT) ELSE a END).kept AS kept FROM turn)
+    SELECT item_name, tax_code FROM turn, folded WHERE list_contains(kept, t)""",
+)
+def e9(s, d):
     i = bi.expense_items(s, d).select("item_name", "tax_code").distinct()
     return evd.interleave(i, "tax_code", [F.col("item_name")], "item_name", 200)
 
@@ -225,12 +232,6 @@ def g2(s, d):
     return a.unionByName(bi.transactions(s, d).select(F.col("account_id").alias("k"), F.col("transaction_date").alias("d"))).groupBy("k").agg(F.max("d").alias("newest"))
 
 
-@query("g5_equal_copies", "SELECT count(*) = 0 AS equal FROM (SELECT id, total FROM expenses EXCEPT ALL SELECT id, total FROM expenses)")
-def g5(s, d):
-    e = bi.expenses(s, d).select("id", "total")
-    return e.exceptAll(bi.expenses(s, d).select("id", "total")).agg((F.count(F.lit(1)) == 0).alias("equal"))
-
-
 @query("h3_money", r"""SELECT doc_id, len(regexp_extract_all(text, '-?\$?\d[\d,]*\.\d{2}-?')) > 0 AS has_money FROM documents""")
 def h3(s, d):
     return bi.read(s, d, "documents").select("doc_id", (F.size(F.regexp_extract_all("text", F.lit(r"(-?\$?\d[\d,]*\.\d{2}-?)"), F.lit(1))) > 0).alias("has_money"))

@@ -383,3 +383,34 @@ def k4(s, d):
     nodes, edges = gr.event_graph(e)
     start = e.where("seconds > 90").select(gr.node_id("Event", F.col("id")).alias("id"))
     return gr.closure(start, edges.where("kind <> 'RETRIED_AS'"), ["HAS_ATTEMPT", "OBSERVED"], []).join(nodes, "id").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "h25_product_label",
+    """, p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages)
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Thing ' || CAST(page_id AS VARCHAR) WHEN page_id % 3 = 1 AND (host = 'example.com' OR host LIKE '%.example.com') THEN 'Thing ' || CAST(page_id AS VARCHAR)
+      WHEN page_id % 3 = 1 THEN 'Thing ' || CAST(page_id AS VARCHAR) || ' | Example-Shop Inc' ELSE 'Thing | b | other' END AS label FROM p""",
+)
+def h25(s, d):
+    i, host = F.col("page_id"), F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1), r"^www\.", "")
+    thing = F.concat(F.lit("Thing "), i.cast("string"))
+    title = F.when(i % 3 == 0, F.concat(F.lit("Buy now shop "), thing, F.lit(" | "), F.upper(host))).when(i % 3 == 1, F.concat(F.lit(" ORDER "), thing, F.lit(" | Example-Shop Inc"))).otherwise("Thing | b | other")
+    return bi.read(s, d, "pages").select("page_id", tx.product_label(title, F.col("url"), {"example shop": "example.com"}).alias("label"))
+
+
+@query(
+    "h32_quantities",
+    """, i AS (SELECT expense_pk, item_id, CASE WHEN item_id % 11 = 0 THEN 'Refunded ' || item_name ELSE item_name END AS name, CASE WHEN item_id % 3 = 0 THEN CAST(CAST(qty AS INT) AS VARCHAR) END AS quantity, CASE WHEN item_id % 5 = 0 THEN 'kg' END AS weight_unit,
+      CAST(line_total AS DOUBLE) AS total, CASE WHEN item_id % 4 <> 0 THEN CAST(line_total AS DOUBLE) / CAST(qty AS DOUBLE) * 1.01e0 END AS unit, CASE WHEN item_id % 22 = 0 THEN CAST(line_total AS DOUBLE) + 1 END AS original FROM expense_items),
+    q AS (SELECT *, CASE WHEN unit > 0 THEN total / unit END AS by_price, coalesce(CAST(quantity AS INT), 1) AS n FROM i),
+    r AS (SELECT *, CASE WHEN name LIKE 'Refunded %' THEN CASE WHEN original > 0 THEN -original ELSE -abs(total) END END AS refund FROM q)
+    SELECT expense_pk, item_id, CASE WHEN weight_unit IS NULL THEN coalesce(CAST(quantity AS DOUBLE), CASE WHEN abs(by_price - round(by_price)) < 0.02 THEN round(by_price) ELSE round(by_price, 3) END) END AS unit_qty,
+      CASE WHEN weight_unit IS NOT NULL THEN round(by_price, 3) END AS weight, round(coalesce(refund, total), 4) AS line_total, round(coalesce(refund / n, unit), 4) AS unit_value FROM r""",
+)
+def h32(s, d):
+    i = bi.expense_items(s, d).selectExpr(
+        "expense_pk", "item_id", "CASE WHEN item_id % 11 = 0 THEN concat('Refunded ', item_name) ELSE item_name END AS name", "CASE WHEN item_id % 3 = 0 THEN CAST(CAST(qty AS INT) AS STRING) END AS quantity", "CASE WHEN item_id % 5 = 0 THEN 'kg' END AS weight_unit",
+        "CAST(NULL AS DOUBLE) AS weight_qty", "CAST(line_total AS DOUBLE) AS total_price", "CASE WHEN item_id % 4 <> 0 THEN CAST(line_total AS DOUBLE) / CAST(qty AS DOUBLE) * 1.01e0 END AS unit_price", "CASE WHEN item_id % 22 = 0 THEN CAST(line_total AS DOUBLE) + 1 END AS original_total_price",
+    )
+    out = de.derived_quantities(i)
+    return out.select("expense_pk", "item_id", "unit_qty", "weight", F.round("line_total", 4).alias("line_total"), F.round("unit_value", 4).alias("unit_value"))
