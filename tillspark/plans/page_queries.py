@@ -405,7 +405,7 @@ def h25(s, d):
     q AS (SELECT *, CASE WHEN unit > 0 THEN total / unit END AS by_price, coalesce(CAST(quantity AS INT), 1) AS n FROM i),
     r AS (SELECT *, CASE WHEN name LIKE 'Refunded %' THEN CASE WHEN original > 0 THEN -original ELSE -abs(total) END END AS refund FROM q)
     SELECT expense_pk, item_id, CASE WHEN weight_unit IS NULL THEN coalesce(CAST(quantity AS DOUBLE), CASE WHEN abs(by_price - round(by_price)) < 0.02 THEN round(by_price) ELSE round(by_price, 3) END) END AS unit_qty,
-      CASE WHEN weight_unit IS NOT NULL THEN round(by_price, 3) END AS weight, round(coalesce(refund, total), 4) AS line_total, round(coalesce(refund / n, unit), 4) AS unit_value FROM r""",
+      CASE WHEN weight_unit IS NOT NULL THEN round(by_price, 3) END AS weight, coalesce(refund, total) AS line_total, coalesce(refund / n, unit) AS unit_value FROM r""",
 )
 def h32(s, d):
     i = bi.expense_items(s, d).selectExpr(
@@ -413,4 +413,4 @@ def h32(s, d):
         "CAST(NULL AS DOUBLE) AS weight_qty", "CAST(line_total AS DOUBLE) AS total_price", "CASE WHEN item_id % 4 <> 0 THEN CAST(line_total AS DOUBLE) / CAST(qty AS DOUBLE) * 1.01e0 END AS unit_price", "CASE WHEN item_id % 22 = 0 THEN CAST(line_total AS DOUBLE) + 1 END AS original_total_price",
     )
     out = de.derived_quantities(i)
-    return out.select("expense_pk", "item_id", "unit_qty", "weight", F.round("line_total", 4).alias("line_total"), F.round("unit_value", 4).alias("unit_value"))
+    return out.select("expense_pk", "item_id", "unit_qty", "weight", "line_total", "unit_value")
