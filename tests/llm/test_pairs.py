@@ -108,6 +108,28 @@ def test_recall_of_pairs_just_above_the_threshold(spark):
     assert linked <= want and len(linked) >= 0.99 * len(want)
 
 
+def test_a_common_passage_does_not_keep_documents_together(spark, monkeypatch):
+    """Half of each document is one passage; pairs differ in two words of the rest, and nothing ends in a dense node."""
+    r = random.Random(5)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, rows = own(36), []
+    for k in range(900):
+        words = passage + own(34)
+        rows.append((10 * k, " ".join(words)))
+        if k % 6 == 0:
+            words[-3], words[-12] = own(2)
+            rows.append((10 * k + 1, " ".join(words)))
+    met, dense_links = [], near_dup._dense_links
+    monkeypatch.setattr(near_dup, "_dense_links", lambda rows, *rest: (met.append(rows.count()), dense_links(rows, *rest))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(docs).collect()}
+    want = brute_components(rows)
+    found = [i for i in want if want[i] != i and got[i] == want[i]]
+    assert len(found) >= 0.98 * sum(want[i] != i for i in want) > 140
+    assert all(got[i] in (i, want[i]) for i in want)
+    assert sum(met) == 0
+
+
 def test_near_duplicates_of_odd_tables(odd_docs, no_docs):
     out = near_dup.near_duplicates(odd_docs).collect()
     assert len(out) == odd_docs.count()
