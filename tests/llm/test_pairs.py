@@ -225,3 +225,25 @@ def test_leaks_of_odd_tables(odd_docs, no_docs, spark):
     assert decontaminate.find_leaks(no_docs, items).collect() == []
     assert decontaminate.find_leaks(odd_docs, items.limit(0)).collect() == []
     assert decontaminate.decontaminate(odd_docs, items).count() == odd_docs.count() - 1
+
+
+def test_members_of_a_passage_meet_by_their_other_tokens(spark, monkeypatch):
+    """Half of each document is one passage: no node below the root is needed to find the pairs among them."""
+    r = random.Random(6)
+    own = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    passage, rows = own(36), []
+    for k in range(400):
+        words = passage + own(34)
+        rows.append((10 * k, " ".join(words)))
+        if k % 4 == 0:
+            words[-3], words[-12] = own(2)
+            rows.append((10 * k + 1, " ".join(words)))
+    made, put = [], near_dup._Tables.put
+    monkeypatch.setattr(near_dup._Tables, "put", lambda tables, df, name: (made.append((name, out := put(tables, df, name), out.count())), out)[1])
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_components(rows)
+    found = [i for i in want if want[i] != i and got[i] == want[i]]
+    assert len(found) >= 0.98 * sum(want[i] != i for i in want) > 95
+    assert all(got[i] in (i, want[i]) for i in want)
+    below = [n for name, _, n in made if name == "path-rows"][1:]
+    assert sum(below) < len(rows)
