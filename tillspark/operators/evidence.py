@@ -205,21 +205,31 @@ def candidate_pool(candidates: DataFrame, key: str, most: int = 8) -> DataFrame:
 SAME_TIME_AND_TOTAL = "low_score_same_time_total_requires_human_review"
 
 
-def duplicate_capture(scored: DataFrame, resolved: DataFrame) -> DataFrame:
+def duplicate_capture(scored: DataFrame, resolved: DataFrame | Column) -> DataFrame:
     """Scored pairs (left, right) to show, and whether the left one is linked by itself.
 
-    Not those resolved before. Distinct pairs of the same time and total are shown for review. A
-    link needs an exact score by an identifier of six digits or more at a precise time, and no
-    second such pair of the same document. scored: left_pk, right_pk, left_id, left_at, score,
-    disposition, reasons.
+    Not those resolved before: a table of pairs, or a condition on a scored pair. Distinct pairs of
+    the same time and total are shown for review. A link needs an exact score by an identifier of
+    six digits or more at a precise time, and no second such pair of the same document. scored:
+    left_pk, right_pk, left_id, left_at, same_id, score, disposition, reasons.
+
+    Pairs with and without a common identifier go apart: only exact pairs, which are among the
+    former, are counted by document, and no other pair is shuffled.
     """
     has = lambda reason: F.array_contains("reasons", reason)
     distinct = F.col("disposition") == "distinct"
-    shown = scored.where(~distinct | (has("time_within_5m") & has("total_exact"))).join(resolved, ["left_pk", "right_pk"], "left_anti")
-    shown = shown.withColumns({"reasons": F.when(distinct, F.array_append("reasons", SAME_TIME_AND_TOTAL)).otherwise(F.col("reasons")), "disposition": F.when(distinct, "needs_review").otherwise(F.col("disposition"))})
     precise = F.date_format("left_at", "HH:mm:ss") != "00:00:00"
     strong = F.length(F.regexp_replace(F.coalesce("left_id", F.lit("")), r"\D", "")) >= 6
-    shown = shown.withColumn("_exact", F.coalesce((F.col("disposition") == "exact_duplicate") & precise & strong & has("identifier_match"), F.lit(False)))
-    count = shown.where("_exact").groupBy("left_pk").agg(F.count(F.lit(1)).alias("_n"))
-    out = shown.join(count, "left_pk", "left")
-    return out.select("left_pk", "right_pk", "score", "disposition", "reasons", (F.col("_exact") & (F.col("_n") == 1)).alias("auto_link"))
+    exact = F.coalesce(F.col("same_id") & (F.col("disposition") == "exact_duplicate") & precise & strong, F.lit(False))
+
+    def shown(pairs: DataFrame, link: Column) -> DataFrame:
+        pairs = pairs.where(~distinct | (has("time_within_5m") & has("total_exact")))
+        if isinstance(resolved, DataFrame):
+            pairs = pairs.join(resolved, ["left_pk", "right_pk"], "left_anti")
+        reasons = F.when(distinct, F.array_append("reasons", SAME_TIME_AND_TOTAL)).otherwise(F.col("reasons"))
+        return pairs.select("left_pk", "right_pk", "score", F.when(distinct, "needs_review").otherwise(F.col("disposition")).alias("disposition"), reasons.alias("reasons"), link.alias("auto_link"))
+
+    if not isinstance(resolved, DataFrame):
+        scored = scored.where(~F.coalesce(resolved, F.lit(False)))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("left_pk")) == 1
+    return shown(scored.where(~exact), F.lit(False)).unionByName(shown(scored.where("same_id").where(exact), alone))
