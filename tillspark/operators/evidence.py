@@ -205,7 +205,7 @@ def candidate_pool(candidates: DataFrame, key: str, most: int = 8) -> DataFrame:
 SAME_TIME_AND_TOTAL = "low_score_same_time_total_requires_human_review"
 
 
-def duplicate_capture(scored: DataFrame, resolved: DataFrame | Column) -> DataFrame:
+def duplicate_capture(scored: DataFrame, resolved: DataFrame | Column, others: DataFrame | None = None, dealt: Sequence[str] = ()) -> DataFrame:
     """Scored pairs (left, right) to show, and whether the left one is linked by itself.
 
     Not those resolved before: a table of pairs, or a condition on a scored pair. Distinct pairs of
@@ -213,23 +213,28 @@ def duplicate_capture(scored: DataFrame, resolved: DataFrame | Column) -> DataFr
     six digits or more at a precise time, and no second such pair of the same document. scored:
     left_pk, right_pk, left_id, left_at, same_id, score, disposition, reasons.
 
-    Pairs with and without a common identifier go apart: only exact pairs, which are among the
-    former, are counted by document, and no other pair is shuffled.
+    Only pairs with a common identifier are counted by document. ``others`` are more pairs, all
+    without one, that pass through. ``dealt``: columns that scored is dealt by and that follow from
+    left_pk; with them no pair is shuffled.
     """
     has = lambda reason: F.array_contains("reasons", reason)
     distinct = F.col("disposition") == "distinct"
-    precise = F.date_format("left_at", "HH:mm:ss") != "00:00:00"
-    strong = F.length(F.regexp_replace(F.coalesce("left_id", F.lit("")), r"\D", "")) >= 6
-    exact = F.coalesce(F.col("same_id") & (F.col("disposition") == "exact_duplicate") & precise & strong, F.lit(False))
 
-    def shown(pairs: DataFrame, link: Column) -> DataFrame:
-        pairs = pairs.where(~distinct | (has("time_within_5m") & has("total_exact")))
+    def shown(pairs: DataFrame) -> DataFrame:
+        worth = ~distinct | (has("time_within_5m") & has("total_exact"))
         if isinstance(resolved, DataFrame):
-            pairs = pairs.join(resolved, ["left_pk", "right_pk"], "left_anti")
+            return pairs.where(worth).join(resolved, ["left_pk", "right_pk"], "left_anti")
+        # One predicate, not two: pushed down alone, the one on left_pk would make the sides differ, so that each is built and shuffled apart.
+        return pairs.where(F.least(worth, ~F.coalesce(resolved, F.lit(False))))
+
+    def told(pairs: DataFrame, link: Column) -> DataFrame:
         reasons = F.when(distinct, F.array_append("reasons", SAME_TIME_AND_TOTAL)).otherwise(F.col("reasons"))
         return pairs.select("left_pk", "right_pk", "score", F.when(distinct, "needs_review").otherwise(F.col("disposition")).alias("disposition"), reasons.alias("reasons"), link.alias("auto_link"))
 
-    if not isinstance(resolved, DataFrame):
-        scored = scored.where(~F.coalesce(resolved, F.lit(False)))
-    alone = F.count(F.lit(1)).over(Window.partitionBy("left_pk")) == 1
-    return shown(scored.where(~exact), F.lit(False)).unionByName(shown(scored.where("same_id").where(exact), alone))
+    precise = F.date_format("left_at", "HH:mm:ss") != "00:00:00"
+    strong = F.length(F.regexp_replace(F.coalesce("left_id", F.lit("")), r"\D", "")) >= 6
+    exact = F.coalesce(F.col("same_id") & (F.col("disposition") == "exact_duplicate") & precise & strong, F.lit(False))
+    counted = shown(scored).select(*dealt, "left_pk", "right_pk", "score", "disposition", "reasons", exact.alias("_exact"))
+    alone = F.count_if("_exact").over(Window.partitionBy(*dealt, "left_pk")) == 1
+    out = told(counted, F.col("_exact") & alone)
+    return out if others is None else out.unionByName(told(shown(others), F.lit(False)))
